@@ -78,13 +78,13 @@ def hash_rank(
     df = df.withColumn("__part", part)
     ahead = Window.partitionBy(*within).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.select(*keys, F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"))
+    offsets = counts.select(*keys, F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__ahead"))
     pos = F.row_number().over(Window.partitionBy(*keys).orderBy(hash_col, tie)) - 1
     ranked = df.withColumn("__pos", pos)
     return (
         ranked.join(offsets, keys)
-        .withColumn(out, F.col("__before") + F.col("__pos"))
-        .drop("__part", "__pos", "__before")
+        .withColumn(out, F.col("__ahead") + F.col("__pos"))
+        .drop("__part", "__pos", "__ahead")
     )
 
 
@@ -96,13 +96,13 @@ def hash_running_sum(
     df = df.withColumn("__part", F.substring(hash_col, 1, digits))
     ahead = Window.partitionBy(*within).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     sums = df.groupBy(*keys).agg(F.sum(weight).alias("__w"))
-    offsets = sums.select(*keys, F.coalesce(F.sum("__w").over(ahead), F.lit(0)).alias("__before"))
+    offsets = sums.select(*keys, F.coalesce(F.sum("__w").over(ahead), F.lit(0)).alias("__ahead"))
     inner = Window.partitionBy(*keys).orderBy(hash_col, tie).rowsBetween(Window.unboundedPreceding, -1)
     return (
         df.withColumn("__in", F.coalesce(F.sum(weight).over(inner), F.lit(0)))
         .join(offsets, keys)
-        .withColumn(out, F.col("__before") + F.col("__in"))
-        .drop("__part", "__in", "__before")
+        .withColumn(out, F.col("__ahead") + F.col("__in"))
+        .drop("__part", "__in", "__ahead")
     )
 
 
