@@ -50,7 +50,7 @@ def logistic(c: float = 1.0, max_iter: int = 5000) -> Callable[[DataFrame, str,
         n = train.count()
         model = LogisticRegression(
             featuresCol="vec", labelCol=label, family="multinomial", regParam=1.0 / (n * c), elasticNetParam=0.0,
-            standardization=False, maxIter=max_iter, tol=1e-8, predictionCol="pred", rawPredictionCol="__raw",
+            standardization=False, maxIter=max_iter, tol=1e-6, predictionCol="pred", rawPredictionCol="__raw",
             probabilityCol="__prob",
         ).fit(train)
         return lambda df: model.transform(df).drop("__raw", "__prob")

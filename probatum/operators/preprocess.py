@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from probatum.session import cut_lineage
+
 # A group's histogram is handed to one task only while it has at most this many distinct values.
 DIRECT_VALUES = 1_000_000
 PARTS = 512
@@ -18,14 +20,15 @@ def train_histogram(assigned: DataFrame, features: Sequence[str]) -> DataFrame:
     Counted once per validation fold; the training count is the repeat's total minus the fold's own, so
     rows are not expanded to their k-1 training roles.
     """
-    folds = assigned.select("repeat", "fold").distinct()
-    valid = (
+    # read twice by the quantiles and once for the folds; missing values keep every fold present
+    counted = cut_lineage(
         assigned.select("repeat", "fold", *features)
         .unpivot(["repeat", "fold"], list(features), "feature", "value")
-        .filter(F.col("value").isNotNull())
         .groupBy("feature", "value", "repeat", "fold")
         .agg(F.count(F.lit(1)).alias("nv"))
     )
+    folds = counted.select("repeat", "fold").distinct()
+    valid = counted.filter(F.col("value").isNotNull())
     # per (feature, value, repeat): at most k fold counts
     total = valid.groupBy("feature", "value", "repeat").agg(
         F.sum("nv").alias("total"), F.map_from_entries(F.collect_list(F.struct("fold", "nv"))).alias("own")

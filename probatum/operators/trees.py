@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probatum.operators.metrics import class_metrics
+from probatum.session import cut_lineage
 
 # Features with more distinct values than this are snapped to a grid before they are counted.
 MAX_VALUES = 100_000
@@ -163,8 +164,9 @@ def single_feature_scores(
     """
     keys = [*part, fold, "feature"]
     hist = value_histogram(rows, [*part, fold], features, label, labels)
-    tv = train_valid(hist, part, fold, fold_list(rows, [*part, fold]), labels)
-    grown = grow(fill_with_mode(tv, keys, labels), keys, labels, depth)
+    tv = train_valid(hist, part, fold, fold_list(hist, [*part, fold]), labels)
+    # read by scores, models and modes alike; small beside the rows it was counted from
+    grown = cut_lineage(grow(fill_with_mode(tv, keys, labels), keys, labels, depth))
     return grown, class_metrics(side_counts(grown, keys, labels), keys, labels)
 
 

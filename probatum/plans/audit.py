@@ -84,7 +84,7 @@ def full_pipeline(frame: DataFrame, features: Sequence[str], label: str) -> Pipe
     n = frame.count()
     lr = LogisticRegression(
         featuresCol="vec", labelCol=label, family="multinomial", regParam=1.0 / (n * models.AUDIT_LR_C),
-        elasticNetParam=0.0, standardization=False, maxIter=5000, tol=1e-8,
+        elasticNetParam=0.0, standardization=False, maxIter=5000, tol=1e-6,
     )
     return Pipeline(stages=[
         SQLTransformer(statement=f"SELECT *, {cols} FROM __THIS__"),

@@ -50,10 +50,10 @@ MODEL_FEATURES = ["n_lines", "disc", "tax", "balance", "priority"]
 
 # Copies of every 7th order under shifted keys, every 14th of them with a rotated label.
 DUP_ORDERS = """
-SELECT row_id, label, n_lines, disc, priority FROM ({order_features}) f
+SELECT row_id, CAST(label AS DOUBLE) AS label, n_lines, disc, priority FROM ({order_features}) f
 UNION ALL
 SELECT row_id + 100000000 AS row_id,
-  CASE WHEN row_id % 14 = 0 THEN (label + 1) % 3 WHEN row_id % 21 = 0 THEN NULL ELSE label END AS label,
+  CAST(CASE WHEN row_id % 14 = 0 THEN (label + 1) % 3 WHEN row_id % 21 = 0 THEN NULL ELSE label END AS DOUBLE) AS label,
   n_lines, disc, priority FROM ({order_features}) g WHERE row_id % 7 = 0"""
 
 PART_DUMP = """
