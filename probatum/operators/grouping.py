@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,8 +19,13 @@ def once(df: DataFrame, **named: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in named.items()]))))
 
 
-HOT_ROWS = 1_000_000
-SALTS = 64
+HOT_ROWS = 10_000_000
+
+
+def hash_digits(df: DataFrame) -> int:
+    """Hex digits that cut a group into several parts per shuffle partition of the session."""
+    parts = 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, math.ceil(math.log(parts, 16)))
 
 
 def attach_group(
@@ -30,13 +36,12 @@ def attach_group(
     spread_by: str,
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Join rows to their group record (one per key, with its row count), NULL keys matching NULL keys.
 
     Groups above ``hot_rows`` rows number at most (all rows / hot_rows), so only those keys are broadcast.
-    Their rows are spread over ``salts`` tasks and their record is repeated per salt; every other row
-    takes part in a plain shuffle join.
+    A hot group is spread over one salt per ``hot_rows`` of its rows and its record repeated per salt, which
+    adds at most (all rows / hot_rows) records again; every other row takes part in a plain shuffle join.
     """
     def same(a: DataFrame, b: DataFrame, names: Sequence[tuple[str, str]]) -> Column:
         cond = F.lit(True)
@@ -45,19 +50,21 @@ def attach_group(
         return cond
 
     mine = {k: f"__{k}" for k in keys}
+    salts = F.ceil(F.col(size) / hot_rows).cast("bigint")
     hot = groups.filter(F.col(size) > hot_rows).select(
-        *[F.col(k).alias(mine[k]) for k in keys], F.lit(True).alias("__hot")
+        *[F.col(k).alias(mine[k]) for k in keys], salts.alias("__salts")
     )
     pairs = [(k, mine[k]) for k in keys]
     tagged = rows.join(F.broadcast(hot), same(rows, hot, pairs), "left").drop(*mine.values())
     tagged = tagged.withColumn(
-        "__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    ).drop("__hot")
+        "__salt", F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("__salts")), F.lit(0).cast("bigint"))
+    ).drop("__salts")
     fan = groups.select(
         *[F.col(k).alias(mine[k]) for k in keys],
         *[c for c in groups.columns if c not in keys],
         F.explode(
-            F.when(F.col(size) > hot_rows, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+            F.when(F.col(size) > hot_rows, F.sequence(F.lit(0).cast("bigint"), salts - 1))
+            .otherwise(F.array(F.lit(0).cast("bigint")))
         ).alias("__gsalt"),
     )
     cond = same(tagged, fan, pairs) & (tagged["__salt"] == fan["__gsalt"])
@@ -66,16 +73,16 @@ def attach_group(
 
 
 def hash_rank(
-    df: DataFrame, within: Sequence[str], hash_col: str, tie: str, out: str, digits: int = 3
+    df: DataFrame, within: Sequence[str], hash_col: str, tie: str, out: str, digits: int | None = None
 ) -> DataFrame:
     """Zero-based rank by a hex hash inside each ``within`` group, without a task owning a whole group.
 
     The leading ``digits`` hex digits cut each group into equal parts; a part's offset is the prefix sum
-    of the part counts before it, and only rows of one part are ever sorted together.
+    of the part counts before it, and only rows of one part are ever sorted together. By default the parts
+    grow with the session's shuffle partitions. The rank itself does not depend on them.
     """
-    part = F.substring(hash_col, 1, digits)
     keys = [*within, "__part"]
-    df = df.withColumn("__part", part)
+    df = df.withColumn("__part", F.substring(hash_col, 1, digits or hash_digits(df)))
     ahead = Window.partitionBy(*within).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select(*keys, F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__ahead"))
@@ -89,11 +96,11 @@ def hash_rank(
 
 
 def hash_running_sum(
-    df: DataFrame, within: Sequence[str], hash_col: str, tie: str, weight: str, out: str, digits: int = 3
+    df: DataFrame, within: Sequence[str], hash_col: str, tie: str, weight: str, out: str, digits: int | None = None
 ) -> DataFrame:
     """Sum of ``weight`` over the rows before each row in hash order, inside each ``within`` group."""
     keys = [*within, "__part"]
-    df = df.withColumn("__part", F.substring(hash_col, 1, digits))
+    df = df.withColumn("__part", F.substring(hash_col, 1, digits or hash_digits(df)))
     ahead = Window.partitionBy(*within).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     sums = df.groupBy(*keys).agg(F.sum(weight).alias("__w"))
     offsets = sums.select(*keys, F.coalesce(F.sum("__w").over(ahead), F.lit(0)).alias("__ahead"))

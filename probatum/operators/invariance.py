@@ -22,7 +22,7 @@ def zero_leak(df: DataFrame, label: str, table: Mapping[str, Sequence[float]]) -
 
 
 def permuted_labels(
-    df: DataFrame, key: str, label: str, n_perm: int, seed: int = 0, digits: int = 2, out: str = "y"
+    df: DataFrame, key: str, label: str, n_perm: int, seed: int = 0, digits: int | None = None, out: str = "y"
 ) -> DataFrame:
     """(perm, key, y): ``n_perm`` row-wise label shuffles as a join.
 

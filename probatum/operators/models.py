@@ -58,7 +58,7 @@ def logistic(c: float = 1.0, max_iter: int = 5000) -> Callable[[DataFrame, str,
     return fit
 
 
-def linear_svm(c: float = 0.2, max_iter: int = 1000) -> Callable[[DataFrame, str, Sequence[int]], Predict]:
+def linear_svm(c: float = 0.2, max_iter: int = 100) -> Callable[[DataFrame, str, Sequence[int]], Predict]:
     """One-vs-one linear hinge classifiers with majority vote, the lowest label on ties."""
 
     def fit(train: DataFrame, label: str, labels: Sequence[int]) -> Predict:
@@ -68,7 +68,7 @@ def linear_svm(c: float = 0.2, max_iter: int = 1000) -> Callable[[DataFrame, str
             pair = train.filter(F.col(label).isin(a, b)).withColumn("__side", (F.col(label) == b).cast("double"))
             model = LinearSVC(
                 featuresCol="vec", labelCol="__side", regParam=1.0 / ((sizes[a] + sizes[b]) * c),
-                standardization=False, maxIter=max_iter, tol=1e-6, predictionCol=f"__p_{a}_{b}",
+                standardization=False, maxIter=max_iter, tol=1e-4, predictionCol=f"__p_{a}_{b}",
                 rawPredictionCol=f"__r_{a}_{b}",
             ).fit(pair)
             votes.append((a, b, model))
@@ -167,8 +167,8 @@ def fit_fold(
     rows: DataFrame, learner: Learner, params: dict[str, tuple[float, float, float]], key: str, label: str,
     labels: Sequence[int], repeat: int, fold: int,
 ) -> DataFrame:
-    """Fit on every other fold of the repeat and predict this one."""
-    vec = vectors(rows.filter(F.col("repeat") == repeat), learner, params, [key, label, "fold"])
+    """Fit on every other fold of one repeat's rows and predict this one."""
+    vec = vectors(rows, learner, params, [key, label, "fold"])
     train = vec.filter(F.col("fold") != fold).persist()
     predict = learner.fit(train, label, labels)
     train.unpersist()
@@ -202,10 +202,18 @@ def predict_folds(
     short jobs of one fit fill the gaps of another.
     """
     params = learner_statistics(rows, learners)
-    tasks = [(x, rep, fold) for rep, fold in sorted(params[learners[0].fill]) for x in learners]
-    run = lambda t: fit_fold(rows, t[0], params[t[0].fill][(t[1], t[2])], key, label, labels, t[1], t[2])
-    with ThreadPoolExecutor(threads) as pool:
-        parts = list(pool.map(run, tasks))
+    spots = sorted(params[learners[0].fill])
+    parts: list[DataFrame] = []
+    for rep in sorted({r for r, _ in spots}):
+        part = rows.filter(F.col("repeat") == rep).persist()  # read by every fit of the repeat
+
+        def run(task: tuple[Learner, int], rep: int = rep, part: DataFrame = part) -> DataFrame:
+            x, fold = task
+            return fit_fold(part, x, params[x.fill][(rep, fold)], key, label, labels, rep, fold)
+
+        with ThreadPoolExecutor(threads) as pool:
+            parts += pool.map(run, [(x, fold) for r, fold in spots if r == rep for x in learners])
+        part.unpersist()
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -234,8 +242,10 @@ def run_cv(
         parts.append(predict_folds(rows, learners, key, label, labels, threads))
     cand = picks = None
     if inner is not None:
-        inner_rows = inner.select("repeat", "fold", "inner_fold", key, label).join(df.drop(label), key)
-        single, cand, picks = trees.nested_single(rows, inner_rows, key, features, label, labels)
+        snapped = trees.snap_features(df, features).drop(label)
+        outer_rows = folds.select("repeat", "fold", key, label).join(snapped, key)
+        inner_rows = inner.select("repeat", "fold", "inner_fold", key, label).join(snapped, key)
+        single, cand, picks = trees.nested_single(outer_rows, inner_rows, key, features, label, labels)
         parts.append(single)
     oof = reduce(DataFrame.unionByName, parts)
     if store is not None:
@@ -331,7 +341,8 @@ def nested_search(
         if not names:
             continue
         x = by_name[r.candidate]
-        out = fit_fold(rows, x, params[x.fill][spot], key, label, labels, *spot)
+        part = rows.filter(F.col("repeat") == spot[0])
+        out = fit_fold(part, x, params[x.fill][spot], key, label, labels, *spot)
         parts += [out.withColumn("model", F.lit(n)) for n in names]
     return reduce(DataFrame.unionByName, parts), scores
 

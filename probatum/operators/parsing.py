@@ -74,11 +74,11 @@ TAIL_REASON = "tail_rows_quarantined_by_audit_convention"
 RANGE_REASON = "quarantine_out_of_range"
 
 
-def exclusions(
+def judge(
     parsed: DataFrame, key: str, label: str, domain: Sequence[int], features: Sequence[str],
     rules: RuleSet, scope: Scope,
 ) -> DataFrame:
-    """Excluded keys with the first reason that applies: tail, label, out of range. Row-local."""
+    """The table with ``reason`` and ``detail`` of exclusion: tail, label, out of range. NULL for kept rows."""
     in_tail: Column = F.lit(False) if scope.tail_from is None else F.col(key) >= scope.tail_from
     bad_label = cells.label_reason(label, label, domain)
     above = F.lit(None).cast("string")
@@ -102,11 +102,20 @@ def exclusions(
         .when(F.col("__bad").isNotNull(), F.lit(""))
         .otherwise(F.col("__above"))
     )
-    return judged.filter(F.col("reason").isNotNull()).select(key, "reason", detail.alias("detail"))
+    return judged.select(*parsed.columns, "reason", detail.alias("detail"))
+
+
+def exclusions(
+    parsed: DataFrame, key: str, label: str, domain: Sequence[int], features: Sequence[str],
+    rules: RuleSet, scope: Scope,
+) -> DataFrame:
+    """Excluded keys with the first reason that applies. Row-local."""
+    judged = judge(parsed, key, label, domain, features, rules, scope)
+    return judged.filter(F.col("reason").isNotNull()).select(key, "reason", "detail")
 
 
 def included(parsed: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not excluded."""
+    """Rows whose key is not in a given exclusion table. ``prepare`` filters by reason and needs no join."""
     return parsed.join(excluded.select(key), key, "left_anti")
 
 
@@ -242,8 +251,9 @@ def prepare(
     check_no_label_in_features(feats, label)
     cols = [*feats, label]
     parsed = parse_table(raw, key, cols)
-    excluded = exclusions(parsed, key, label, domain, feats, rules, scope)
-    frame = included(parsed, excluded, key).withColumn(label, F.col(label).cast("int"))
+    judged = judge(parsed, key, label, domain, feats, rules, scope)
+    excluded = judged.filter(F.col("reason").isNotNull()).select(key, "reason", "detail")
+    frame = judged.filter(F.col("reason").isNull()).select(key, *feats, F.col(label).cast("int").alias(label))
     return Prepared(
         raw=raw, parsed=parsed, issues=parse_issues(raw, key, cols), excluded=excluded, frame=frame,
         violations=domain_violations(parsed, key, cols, rules), checks=field_checks(parsed, key, cols, rules),

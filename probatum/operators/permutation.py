@@ -31,7 +31,7 @@ def availability(run: bool, grouped: bool) -> tuple[str, str | None]:
 
 
 def permutation_rows(
-    df: DataFrame, key: str, label: str, n_perm: int, seed: int, k: int = PERMUTATION_FOLDS, digits: int = 2
+    df: DataFrame, key: str, label: str, n_perm: int, seed: int, k: int = PERMUTATION_FOLDS, digits: int | None = None
 ) -> DataFrame:
     """(perm, fold, key, y): observed labels as perm -1 and ``n_perm`` shuffles, each with its stratified folds."""
     drawn = permuted_labels(df, key, label, n_perm, seed, digits)
@@ -67,7 +67,8 @@ def permutation_scores(
     leak: Mapping[str, Sequence[float]], n_perm: int, seed: int = 0, learner: str = "tree", threads: int = 4,
 ) -> DataFrame:
     """(perm, clean, leaky, leaky_minus_clean); perm -1 is the observed labelling."""
-    rows = permutation_rows(df, key, label, n_perm, seed).join(df.select(key, *features), key).persist()
+    feats = trees.snap_features(df, features) if learner == "tree" else df
+    rows = permutation_rows(df, key, label, n_perm, seed).join(feats.select(key, *features), key).persist()
     leaky = zero_leak(rows, "y", {c: v for c, v in leak.items() if c in features})
 
     def score(r: DataFrame) -> DataFrame:

@@ -110,6 +110,7 @@ def run_full_audit(
     spark = raw.sparkSession
     prep = parsing.prepare(raw, key, label, s.label_domain, rules, s.rows(), features)
     feats, labels = prep.features, list(s.label_domain)
+    prep.parsed.persist()  # every table below starts from it
     frame = prep.frame.persist()
     if frame.limit(1).count() == 0:
         raise S.SplitError("included sample is empty after exclusions")
@@ -198,6 +199,7 @@ def _validate(
     desc = describe_flags(data.select(key, *feats).join(flagged, key), key, "flag", feats, s.seed, group is not None)
     doc["persistent_errors"] = {"n_flagged": desc["n_flagged"], "feature_description_same_data": desc}
     if not s.smoke:
-        rows = outer.select("repeat", "fold", key, label).join(data.drop(label), key)
+        snapped = trees.snap_features(data, feats).drop(label)
+        rows = outer.select("repeat", "fold", key, label).join(snapped, key)
         doc["single_feature_exploratory"] = sinks.records(trees.exploratory_scores(rows, feats, label, labels))
     return doc

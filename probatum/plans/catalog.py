@@ -666,7 +666,7 @@ _CAND = (f"{_INNER_HIST}, sc AS ({O.metrics(O.grown_counts(['repeat', 'fold', 'i
 def _outer_rows(spark, sf) -> tuple[DataFrame, DataFrame]:
     f = I.order_features(spark, sf).select(KEY, "size_label", *_TF).persist()
     folds = S.stratified_folds(f, KEY, "size_label", K, REPEATS).persist()
-    feats = f.drop("size_label")
+    feats = T.snap_features(f, _TF).drop("size_label")
     inner = S.inner_folds(folds, KEY, "size_label", K, 3)
     return folds.join(feats, KEY).persist(), inner.join(feats, KEY)
 

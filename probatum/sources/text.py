@@ -95,10 +95,10 @@ def load_dump(
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, nbytes, raw_sha256, lf_sha256) per file: digest of the bytes and of the bytes with LF line ends."""
     files = spark.read.format("binaryFile").load(path)
-    text = F.regexp_replace(F.decode("content", F.lit("ISO-8859-1")), "\r\n?", "\n")
+    text = F.regexp_replace(F.decode("content", "ISO-8859-1"), "\r\n?", "\n")
     return files.select(
         "path", F.col("length").alias("nbytes"), F.sha2("content", 256).alias("raw_sha256"),
-        F.sha2(F.encode(text, F.lit("ISO-8859-1")), 256).alias("lf_sha256"),
+        F.sha2(F.encode(text, "ISO-8859-1"), 256).alias("lf_sha256"),
     )
 
 
