@@ -1,4 +1,7 @@
-"""Classifiers on Spark ML, fitted on training folds only, and their cross-validation."""
+"""Classifiers fitted on training folds only, and their cross-validation.
+
+Linear models are solved for all folds together (``linear``); trees, forests and wide problems use Spark ML.
+"""
 
 from __future__ import annotations
 
@@ -20,7 +23,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probatum.operators import preprocess, trees
+from probatum.operators import linear, preprocess, trees
+from probatum.operators.linear import Convex
 from probatum.operators.metrics import class_metrics, confusion_counts
 from probatum.operators.splits import inner_folds, stratified_folds
 
@@ -33,7 +37,7 @@ class Learner:
 
     ``fit(train, label, labels)`` gets (key, vec, label) rows with the prepared vector ``vec`` and returns
     a function adding a ``pred`` column. ``scale`` asks for standardised columns, ``fill`` names the
-    imputation statistic.
+    imputation statistic. A learner with ``convex`` is solved for all folds at once while its width allows.
     """
 
     name: str
@@ -41,6 +45,15 @@ class Learner:
     fit: Callable[[DataFrame, str, Sequence[int]], Predict]
     scale: bool = True
     fill: str = "median"
+    convex: Convex | None = None
+
+
+def lr(name: str, features: Sequence[str], c: float = 1.0) -> Learner:
+    return Learner(name, tuple(features), logistic(c), convex=Convex("logistic", c))
+
+
+def svm(name: str, features: Sequence[str], c: float = 0.2) -> Learner:
+    return Learner(name, tuple(features), linear_svm(c), convex=Convex("svm", c))
 
 
 def logistic(c: float = 1.0, max_iter: int = 5000) -> Callable[[DataFrame, str, Sequence[int]], Predict]:
@@ -132,10 +145,10 @@ def audit_learners(
     feats = tuple(features)
     fewer = tuple(c for c in feats if c not in set(drop))
     return [
-        Learner("lr_all", feats, logistic(AUDIT_LR_C)),
+        lr("lr_all", feats, AUDIT_LR_C),
         Learner("rf_all", feats, random_forest(n_trees, max_depth, seed=seed), scale=False),
-        Learner("svm_all", feats, linear_svm(AUDIT_SVM_C)),
-        Learner("lr_no_psych", fewer, logistic(AUDIT_LR_C)),
+        svm("svm_all", feats, AUDIT_SVM_C),
+        lr("lr_no_psych", fewer, AUDIT_LR_C),
     ]
 
 
@@ -179,6 +192,18 @@ def fit_fold(
     )
 
 
+def _fit_together(
+    rows: DataFrame, learner: Learner, params: linear.Params, key: str, label: str, labels: Sequence[int]
+) -> DataFrame:
+    """Predictions of a linear learner for all folds: one fit over shared passes, one prediction plan."""
+    for p in params.values():
+        preprocess.impute(learner.features, p)
+    use = rows.select("repeat", "fold", key, label, *learner.features)
+    weights = linear.fit(use, learner.features, label, labels, learner.convex, params)
+    out = linear.predict(use, learner.features, labels, learner.convex, params, weights)
+    return out.select(F.lit(learner.name).alias("model"), "repeat", "fold", key, F.col(label).alias("y"), "pred")
+
+
 def learner_statistics(rows: DataFrame, learners: Sequence[Learner]) -> dict[str, dict]:
     """Training parameters per imputation statistic, each for all folds in one pass."""
     out: dict[str, dict] = {}
@@ -203,7 +228,11 @@ def predict_folds(
     """
     params = learner_statistics(rows, learners)
     spots = sorted(params[learners[0].fill])
-    parts: list[DataFrame] = []
+    together = [x for x in learners if x.convex and x.convex.sums(len(x.features), len(labels)) <= linear.MAX_SUMS]
+    learners = [x for x in learners if x not in together]
+    parts = [_fit_together(rows, x, params[x.fill], key, label, labels) for x in together]
+    if not learners:
+        return reduce(DataFrame.unionByName, parts)
     for rep in sorted({r for r, _ in spots}):
         part = rows.filter(F.col("repeat") == rep).persist()  # read by every fit of the repeat
 
@@ -261,7 +290,7 @@ def variant_scores(
     """Pooled macro-F1 of logistic regression on column subsets: (model, n_features, mean, std)."""
     folds = stratified_folds(df, key, label, k, repeats, seed).persist()
     rows = folds.join(df.drop(label), key).persist()
-    learners = [Learner(n, tuple(cols), logistic(AUDIT_LR_C)) for n, cols in variants.items()]
+    learners = [lr(n, cols, AUDIT_LR_C) for n, cols in variants.items()]
     oof = predict_folds(rows, learners, key, label, labels, threads)
     scores = class_metrics(confusion_counts(oof), ["model", "repeat"], labels)
     sizes = df.sparkSession.createDataFrame(
@@ -283,8 +312,8 @@ SEARCH_COMPARISONS = (("b_lr", "dummy"), ("b_lr", "nested_single"), ("b_lr", "lr
 def search_candidates(features: Sequence[str], seed: int = 0) -> list[tuple[str, Learner]]:
     """(family, learner) in priority order: logistic, linear SVM, forests."""
     f = tuple(features)
-    out = [("lr", Learner(f"lr_c{c}", f, logistic(c))) for c in SEARCH_LR_C]
-    out += [("svm", Learner(f"svm_c{c}", f, linear_svm(c))) for c in SEARCH_SVM_C]
+    out = [("lr", lr(f"lr_c{c}", f, c)) for c in SEARCH_LR_C]
+    out += [("svm", svm(f"svm_c{c}", f, c)) for c in SEARCH_SVM_C]
     out += [
         ("rf", Learner(f"rf_t{t}_d{d}_l{leaf}", f, random_forest(t, d or 30, leaf, seed), scale=False))
         for t in SEARCH_RF_TREES for d in SEARCH_RF_DEPTH for leaf in SEARCH_RF_LEAF
@@ -342,7 +371,11 @@ def nested_search(
             continue
         x = by_name[r.candidate]
         part = rows.filter(F.col("repeat") == spot[0])
-        out = fit_fold(part, x, params[x.fill][spot], key, label, labels, *spot)
+        if x.convex is not None:
+            own = {spot: params[x.fill][spot]}
+            out = _fit_together(part, x, own, key, label, labels)
+        else:
+            out = fit_fold(part, x, params[x.fill][spot], key, label, labels, *spot)
         parts += [out.withColumn("model", F.lit(n)) for n in names]
     return reduce(DataFrame.unionByName, parts), scores
 
@@ -353,7 +386,7 @@ def grid_search(
 ) -> DataFrame:
     """(candidate, priority, macro_f1) of logistic regression over C by k-fold mean macro-F1, best first."""
     folds = inner_folds_of_one(df, key, label, k, seed)
-    cands = [("lr", Learner(f"lr_c{c}", tuple(features), logistic(c))) for c in cs]
+    cands = [("lr", lr(f"lr_c{c}", features, c)) for c in cs]
     s = inner_scores(df, folds, cands, key, label, labels, threads)
     return s.select("candidate", "priority", F.col("inner_macro_f1").alias("macro_f1")).orderBy(
         F.desc("macro_f1"), "priority")

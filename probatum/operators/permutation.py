@@ -54,8 +54,8 @@ def tree_scores(rows: DataFrame, features: Sequence[str], labels: Sequence[int])
 
 
 def svm_scores(rows: DataFrame, key: str, features: Sequence[str], labels: Sequence[int], threads: int = 4) -> DataFrame:
-    """(perm, macro_f1) with the linear SVM: a distributed fit per fold and permutation, for few permutations."""
-    learner = models.Learner("svm", tuple(features), models.linear_svm(models.AUDIT_SVM_C))
+    """(perm, macro_f1) with the linear SVM, all permutations and folds solved in shared passes."""
+    learner = models.svm("svm", features, models.AUDIT_SVM_C)
     rows = rows.withColumnRenamed("perm", "repeat").persist()
     oof = models.predict_folds(rows, [learner], key, "y", labels, threads)
     m = class_metrics(confusion_counts(oof), ["repeat", "fold"], labels)

@@ -795,12 +795,12 @@ def _model_scores(spark, sf, learners: list[L.Learner], k: int = 3) -> DataFrame
 
 @query("logistic_scores")
 def logistic_scores(spark, sf):
-    return _model_scores(spark, sf, [L.Learner("lr_all", tuple(I.MODEL_FEATURES), L.logistic())])
+    return _model_scores(spark, sf, [L.lr("lr_all", I.MODEL_FEATURES)])
 
 
 @query("linear_svm_scores")
 def _(spark, sf):
-    return _model_scores(spark, sf, [L.Learner("svm_all", tuple(I.MODEL_FEATURES), L.linear_svm(max_iter=30))], 2)
+    return _model_scores(spark, sf, [L.svm("svm_all", I.MODEL_FEATURES)])
 
 
 @query("forest_and_tree_scores")
@@ -837,7 +837,7 @@ def _(spark, sf):
     f = I.order_features(spark, sf).select(KEY, "size_label", *I.MODEL_FEATURES).persist()
     folds, inner = L.two_level(f, KEY, "size_label", 2, 1, 2)
     feats = tuple(I.MODEL_FEATURES)
-    cands = [("lr", L.Learner("lr_c0.1", feats, L.logistic(0.1))), ("lr", L.Learner("lr_c1", feats, L.logistic(1.0))),
+    cands = [("lr", L.lr("lr_c0.1", feats, 0.1)), ("lr", L.lr("lr_c1", feats, 1.0)),
              ("rf", L.Learner("rf_d8", feats, L.random_forest(10, 8, 4), scale=False))]
     o, _ = L.nested_search(f, folds, inner, cands, KEY, "size_label", LABELS)
     return _json_matrix(M.repeat_scores(o))

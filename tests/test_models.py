@@ -25,7 +25,7 @@ def test_models_on_shared_folds(spark):
     df = table(spark).persist()
     outer, inner = S.plan_folds(df, "id", "y", LABELS, 3, 1, 0, 2, digits=1)
     f = ("f1", "f2", "f3")
-    learners = [L.Learner("lr_all", f, L.logistic()), L.Learner("svm_all", f, L.linear_svm(max_iter=15)),
+    learners = [L.lr("lr_all", f), L.svm("svm_all", f),
                 L.Learner("rf_all", f, L.random_forest(5, 5), scale=False),
                 L.Learner("tree", f, L.shallow_tree(), scale=False, fill="mode")]
     cv = L.run_cv(df, "id", "y", f, LABELS, learners, outer, inner)
@@ -98,3 +98,37 @@ def test_proxy_report(spark, tmp_path):
     top = tables["feature_label_purity"].collect()[0]
     assert top.pure_row_share == 1.0 and 0 < report["mean_abs_feature_correlation"] < 1
     assert [tuple(r) for r in tables["p_by_label"].collect()] == [(0.0, 30, 0, 0), (1.0, 0, 30, 0), (2.0, 0, 0, 30)]
+
+
+def test_linear_fits_reach_their_objectives(spark):
+    import numpy as np
+
+    from probatum.operators import linear
+    from probatum.operators import preprocess as R
+
+    df = table(spark).persist()
+    f = ("f1", "f2", "f3")
+    rows = S.stratified_folds(df, "id", "y", 2, 1).join(df.drop("y"), "id").persist()
+    params = R.parameters(R.train_statistics(rows, f))
+    vec = L.vectors(rows.filter("fold <> 0"), L.lr("x", f), params[(0, 0)], ["id", "y"]).toPandas()
+    x, y = np.array([v.toArray() for v in vec.vec]), vec.y.to_numpy()
+    only = {(0, 0): params[(0, 0)]}
+
+    w = linear.fit(rows, f, "y", LABELS, linear.Convex("logistic", 1.0), only)[(0, 0, -1, -1)].reshape(3, 4)
+    logits = x @ w[:, :3].T + w[:, 3]
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    r = p - np.eye(3)[y]
+    grad = np.c_[r.T @ x + w[:, :3], r.sum(axis=0)]
+    assert np.abs(grad).max() / len(y) < 1e-4  # the summed-loss optimum with unit penalty
+
+    w = linear.fit(rows, f, "y", LABELS, linear.Convex("svm", 0.2), only)[(0, 0, 0, 1)]
+    side = np.where(y[y < 2] == 1, 1.0, -1.0)
+    xs = x[y < 2]
+
+    def objective(v):
+        return v[:3] @ v[:3] / 2 + 0.2 * np.maximum(0, 1 - side * (xs @ v[:3] + v[3])).sum()
+
+    rng, best = np.random.default_rng(0), objective(w)
+    tried = min(objective(w + rng.normal(size=4) * s) for s in (0.3, 0.1, 0.03, 0.01) for _ in range(3000))
+    assert tried > best * 0.99
