@@ -230,7 +230,8 @@ def predict_folds(
     spots = sorted(params[learners[0].fill])
     together = [x for x in learners if x.convex and x.convex.sums(len(x.features), len(labels)) <= linear.MAX_SUMS]
     learners = [x for x in learners if x not in together]
-    parts = [_fit_together(rows, x, params[x.fill], key, label, labels) for x in together]
+    with ThreadPoolExecutor(threads) as pool:
+        parts = list(pool.map(lambda x: _fit_together(rows, x, params[x.fill], key, label, labels), together))
     if not learners:
         return reduce(DataFrame.unionByName, parts)
     for rep in sorted({r for r, _ in spots}):
