@@ -191,25 +191,32 @@ def violation_counts(parsed: DataFrame, key: str, columns: Sequence[str], rules:
 
 
 def field_checks(parsed: DataFrame, key: str, columns: Sequence[str], rules: RuleSet) -> DataFrame:
-    """Per column: range, missing cells, legacy-bound excess and each violation code. One pass, combined map-side."""
+    """Per column: range, missing cells, legacy-bound excess and each violation code. One pass, combined map-side.
+
+    Only numbers are aggregated, so cells are hashed and never sorted; the rule texts join the few results.
+    """
     coded = _coded(parsed, key, columns, rules)
 
     def n(code: str) -> Column:
         return F.count_if(F.array_contains("codes", code)).alias(f"n_{code}")
 
-    return (
-        coded.groupBy(F.col("column").alias("field"))
+    stats = (
+        coded.groupBy("column")
         .agg(
             F.min("value").alias("min"),
             F.max("value").alias("max"),
             F.count_if(F.col("value").isNull()).alias("n_missing"),
-            F.first("legacy_max").alias("provisional_max"),
             F.count_if(F.col("value") > F.col("legacy_max")).alias("n_above_provisional_max"),
             n("below_min"), n("above_max"), n("non_integer"), n("invalid_category"), n("non_finite"),
-            F.first("rule_status").alias("rule_status"),
-            F.first("rule_source").alias("rule_source"),
         )
     )
+    texts = F.broadcast(rules.frame(parsed.sparkSession, columns).select(
+        "column", F.col("legacy_max").alias("provisional_max"), "rule_status", "rule_source"))
+    return stats.join(texts, "column").select(
+        F.col("column").alias("field"), "min", "max", "n_missing", "provisional_max", "n_above_provisional_max",
+        "n_below_min", "n_above_max", "n_non_integer", "n_invalid_category", "n_non_finite", "rule_status",
+        "rule_source",
+    )
 
 
 def check_finite(df: DataFrame, key: str, features: Sequence[str]) -> None:
