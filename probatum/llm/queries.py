@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probatum.llm import bpe, chat
+from probatum.llm import bpe, chat, mixing
 from probatum.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -78,3 +78,42 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
     )
+
+
+@query("""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+    substr(md5('7:' || coalesce(doc_id::VARCHAR, '~') || ':' || md5(coalesce(text, '~'))), 1, 15) AS u
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM d GROUP BY source
+), w AS (
+  SELECT *, CASE number % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, 2 * source_size AS cap FROM s
+), k AS (
+  SELECT *, cap / weight AS ratio,
+    (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER (ORDER BY cap / weight, number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lam FROM w
+), l AS (
+  SELECT coalesce(min_by(lam, ratio) FILTER (lam * weight <= cap), 0) AS level FROM k
+), t AS (
+  SELECT source, source_size, least(cap::DOUBLE, level * weight) AS target FROM w, l
+), r AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t
+), g AS (
+  SELECT d.source, u, sum(size) AS words, any_value(target - whole * source_size) AS open
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source WHERE size > 0 AND target / source_size > whole GROUP BY d.source, u
+), a AS (
+  SELECT *, sum(words) OVER (PARTITION BY source ORDER BY u) AS upto FROM g
+), f AS (
+  SELECT source, max(u) FILTER (upto <= open) AS last, coalesce(sum(words) FILTER (upto <= open), 0) AS filled FROM a GROUP BY source
+), x AS (
+  SELECT a.source, arg_min(u, (abs(words - (open - filled)), u)) AS extra
+  FROM a JOIN f ON a.source IS NOT DISTINCT FROM f.source WHERE upto > open AND abs(words - (open - filled)) < open - filled GROUP BY a.source
+)
+SELECT doc_id, size, source_size, target,
+  (size * (whole + CASE WHEN size > 0 AND (coalesce(u <= last, false) OR coalesce(u = extra, false)) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+LEFT JOIN f ON d.source IS NOT DISTINCT FROM f.source LEFT JOIN x ON d.source IS NOT DISTINCT FROM x.source
+""")
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
