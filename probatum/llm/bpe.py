@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from probatum.llm.common import col
+from probatum.llm.common import col, slices
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 
@@ -43,8 +43,8 @@ LATER_LETTERS = [
 LATER_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79),
                  (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
 
-CUT_CHARS = 1 << 20  # a long text is scanned in cuts of about this many code points
-CACHE_PIECES = 300_000
+CUT_CHARS = 1 << 19  # a long text is scanned in cuts of about this many code points
+CACHE_PIECES = 200_000
 LONG_PIECE = 256  # bytes; longer pieces are merged one by one, with a heap
 
 
@@ -403,7 +403,7 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", keep: Sequence[st
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger, vocabulary = _tool(Merger, ranks_path, shared), _tool(Vocabulary, ranks_path, shared)
-        for batch in batches:
+        for batch in slices(batches, -1):
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             ids: list[bytes] = []
             for run in _groups(texts):
@@ -430,7 +430,7 @@ def decode(df: DataFrame, ranks_path: str, keep: Sequence[str] = ()) -> DataFram
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _tool(Vocabulary, ranks_path, shared)
-        for batch in batches:
+        for batch in slices(batches, -1):
             ids, ends = (batch.column(batch.num_columns - k).to_pylist() for k in (2, 1))
             out = [vocabulary.decode(np.frombuffer(i or b"", "<u4").astype(np.int64), np.frombuffer(e or b"", "<u4").astype(np.int64))
                    for i, e in zip(ids, ends, strict=True)]

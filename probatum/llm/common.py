@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +35,20 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[col(c) for c in df.columns if c.lower() not in gone])
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into runs of rows with about ``most`` bytes in one column, so that a task holds little at once."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        start = total = 0
+        for i, size in enumerate(sizes):
+            if i > start and total + size > most:
+                yield batch.slice(start, i - start)
+                start, total = i, 0
+            total += size
+        if batch.num_rows > start:
+            yield batch.slice(start)
+
+
 def crc32_mod(column: str, n: int) -> Column:
     """Fold of an id: CRC-32 of its decimal text."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
