@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probatum.llm import bpe, chat, mixing
+from probatum.llm import bpe, chat, mixing, ngramjoin
 from probatum.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -117,3 +117,8 @@ LEFT JOIN f ON d.source IS NOT DISTINCT FROM f.source LEFT JOIN x ON d.source IS
 """)
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
