@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probatum.llm import bpe, chat, mixing, ngramjoin
-from probatum.llm.common import table
+from probatum.llm import bpe, chat, mixing, ngramjoin, toxicity
+from probatum.llm.common import crc32_mod, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -122,3 +122,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+@query()
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc32_mod("doc_id", 5) == 0
+    scored = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
