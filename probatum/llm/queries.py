@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probatum.llm import bpe, chat, mixing, ngramjoin, toxicity
+from probatum.llm import bpe, chat, mixing, ngramjoin, quality, toxicity
 from probatum.llm.common import crc32_mod, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -129,3 +129,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc32_mod("doc_id", 5) == 0
     scored = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query()
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc32_mod("doc_id", 3) == 1
+    scored = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -6,9 +6,9 @@ many different letters stand before a gram), order by order. Where neither class
 models agree, so rare expressions count for nothing by themselves, while the stems of toxic words carry over to words
 never seen.
 
-A text's score compares the two log-likelihoods, normalised by its length, over the whole text and over its most
-suspicious window; a logistic curve turns both into a probability. Class counts and curve come from disjoint parts of
-the labelled rows.
+A text's score compares the two log-likelihoods, normalised by its length: the log-ratio per word of the whole text,
+that of its most suspicious word, and what clearly toxic words add up to over the root of the length. A logistic curve
+turns the three into a probability. Class counts and curve come from disjoint parts of the labelled rows.
 
 Bounds: the model keeps the ``MODEL_GRAMS`` most frequent grams of the labelled rows and the curve is fitted on at most
 ``CURVE_ROWS`` rows; both are parameters. The shared counts cover all documents.
@@ -38,8 +38,9 @@ DISCOUNT = 0.75
 START, STOP = "\x02", "\x03"
 MODEL_GRAMS = 400_000
 CURVE_ROWS = 20_000
-WINDOW = 4  # words
+CLEAR = 2.0  # log-ratio of a word beyond which it is evidence by itself
 WORDS_AT_ONCE = 200_000  # distinct words held by a task
+FEATURES = ["mean", "peak", "evidence"]
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 0x20 for c in range(256))
 
 
@@ -165,27 +166,25 @@ class Scorer:
             total += contexts.get(g[:-1], 0.0) if r is None else r
         return total
 
-    def features(self, text: str | None) -> tuple[float, float]:
-        """Log-ratio per word of the whole text and of its highest window."""
+    def features(self, text: str | None) -> tuple[float, float, float]:
+        """Log-ratio per word, of the highest word, and the sum beyond CLEAR over the root of the number of words."""
         words = split_words(text)
         if not words:
-            return 0.0, 0.0
+            return 0.0, 0.0, 0.0
         if len(self.cache) > WORDS_AT_ONCE:
             self.cache = {}
         cache = self.cache
         for w in set(words).difference(cache):
             cache[w] = self.word(w)
         x = np.array([cache[w] for w in words])
-        sums = np.concatenate([[0.0], np.cumsum(x)])
-        width = min(WINDOW, len(x))
-        return float(sums[-1] / len(x)), float((sums[width:] - sums[:-width]).max() / WINDOW)
+        return float(x.mean()), float(x.max()), float(np.maximum(x - CLEAR, 0).sum() / np.sqrt(len(x)))
 
 
 _SCORERS: dict[str, Scorer] = {}  # one per Python worker, so that the cache outlives a task
 
 
 def features(docs: DataFrame, model, keep: list[str]) -> DataFrame:
-    """Columns ``keep``, then ``mean`` and ``peak``."""
+    """Columns ``keep``, then the three features."""
     name = uuid.uuid4().hex
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,16 +195,17 @@ def features(docs: DataFrame, model, keep: list[str]) -> DataFrame:
         for batch in slices(batches, -1):
             found = [scorer.features(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], *(pa.array([f[k] for f in found], pa.float64()) for k in (0, 1))], names=[*batch.schema.names[:-1], "mean", "peak"])
+                [*batch.columns[:-1], *(pa.array([f[k] for f in found], pa.float64()) for k in range(3))], names=[*batch.schema.names[:-1], *FEATURES])
 
     source = docs.select(*map(col, keep), F.col("text").alias("__text"))
-    schema = StructType([*source.schema.fields[:-1], StructField("mean", DoubleType()), StructField("peak", DoubleType())])
+    schema = StructType([*source.schema.fields[:-1], *(StructField(f, DoubleType()) for f in FEATURES)])
     return source.mapInArrow(work, schema)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights (one per feature, then the constant) of a logistic curve, by Newton steps with a small ridge."""
-    x = np.column_stack([x, np.ones(len(x))])
+    middle, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+    x = np.column_stack([(x - middle) / spread, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     ridge = np.diag([1e-2] * (x.shape[1] - 1) + [1e-6])
     for _ in range(50):
@@ -214,7 +214,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         w += step
         if np.abs(step).max() < 1e-9:
             break
-    return w
+    return np.append(w[:-1] / spread, w[-1] - (w[:-1] * middle / spread).sum())
 
 
 def toxicity_scores(documents: DataFrame, labels: DataFrame, teach: Column, keep: list[str] | None = None) -> DataFrame:
@@ -231,14 +231,16 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, teach: Column, keep
     model = documents.sparkSession.sparkContext.broadcast(log_ratios(docs, labelled.filter(part != 0)))
     seen = (features(labelled.filter(part == 0), model, ["doc_id", "label"])
             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS).toPandas())
-    x, y = seen[["mean", "peak"]].to_numpy(float), seen["label"].to_numpy(float)
+    x, y = seen[FEATURES].to_numpy(float), seen["label"].to_numpy(float)
     if len(set(y)) < 2:
         share = known.agg(F.coalesce(F.avg("label"), F.lit(0.5))).first()[0]
-        w = np.array([0.0, 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6)))])
+        w = np.array([0.0, 0.0, 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6)))])
     else:
         w = fit_curve(x, y)
     names = keep or ["doc_id"]
     source = documents.select(*[col(n) for n in names if n != "text"], F.col("text").cast("string").alias("text"))
-    z = F.lit(float(w[0])) * F.col("mean") + F.lit(float(w[1])) * F.col("peak") + F.lit(float(w[2]))
+    z = F.lit(float(w[-1]))
+    for k, f in enumerate(FEATURES):
+        z = z + F.lit(float(w[k])) * F.col(f)
     score = 1 / (1 + F.exp(-z))
     return features(source, model, names).select(*map(col, names), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
