@@ -6,9 +6,10 @@
 2. Documents with the same set become one class, classes with the same size and the same prefix one group.
 3. Groups that share a prefix shingle meet in its bucket, cut into blocks where it is large. Group pairs pass the
    size and the position bound; their members the bound that the parity bitmaps of two sets put on their difference.
-4. A class is named by the digest of its set. Round one verifies, for every class and bucket, only its smallest partner, and takes connected components. Round
-   two verifies all candidates between different components. What both leave out cannot change a component, so a
-   group of near copies is not paired out.
+4. A class is named by the digest of its set. Round one verifies, for every class, two partners: the nearest by bitmap
+   and the one with most partners of its own, and takes connected components. Round two verifies all candidates
+   between different components. What both leave out cannot change a component, so a group of near copies is not
+   paired out.
 
 Stated cases: a null text, or one without words, has an empty set and links with nothing; documents without an id get
 their set's size, no component, and link with nothing; rows that share an id are one document of the link graph;
@@ -21,7 +22,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from probatum.llm.common import components, slices, typed
@@ -35,6 +37,7 @@ FREQUENT_SHARE = 1e-3  # of the documents
 FREQUENT_MOST = 1 << 20  # entries of the list of frequent shingles, 16 MB
 CHUNK = 1 << 22  # shingles a task counts at once
 PAIRS = 1 << 20  # pairs compared at once
+BLOOM_BITS = 1 << 26
 
 
 def _texts(batch: pa.RecordBatch) -> list[str | None]:
@@ -105,7 +108,7 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def grouped(classes: DataFrame) -> DataFrame:
-    """Classes to groups of equal size and prefix: gid, n, prefix, members (rep, bitmap). Large groups are split.
+    """Classes (cls, n, p1, p2) with ``gid``: the smallest class of those with equal size and prefix. Large groups are split.
 
     At most 10,000 groups hold more than a ten-thousandth of all classes, so only their keys are broadcast.
     """
@@ -113,12 +116,9 @@ def grouped(classes: DataFrame) -> DataFrame:
     sizes = classes.groupBy(*key).agg(F.count(F.lit(1)).alias("size"))
     most = max(MEMBERS, classes.count() // 10_000)
     large = sizes.filter(F.col("size") > most).select(*key, F.ceil(F.col("size") / MEMBERS).alias("cuts"))
-    return (
-        classes.join(F.broadcast(large), key, "left")
-        .withColumn("cut", F.coalesce(F.pmod(F.xxhash64("cls"), F.col("cuts")), F.lit(0)))
-        .groupBy(*key, "cut").agg(F.min("cls").alias("gid"), F.first("prefix").alias("prefix"), F.collect_list(F.struct(F.col("cls").alias("rep"), "bitmap")).alias("members"))
-        .select("gid", "n", "prefix", "members")
-    )
+    cut = classes.join(F.broadcast(large), key, "left").withColumn("cut", F.coalesce(F.pmod(F.xxhash64("cls"), F.col("cuts")), F.lit(0)))
+    leaders = cut.groupBy(*key, "cut").agg(F.min("cls").alias("gid"))
+    return cut.join(leaders, [*key, "cut"]).select("cls", "rep", "gid")
 
 
 def _ranges(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,8 +128,19 @@ def _ranges(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -> Iterator[pa.RecordBatch]:
-    """Bucket rows, sorted by bucket, to candidate pairs (a < b); a bucket may go on in the next batch."""
-    fields = ["a", "b"]
+    """Bucket rows, sorted by bucket, to candidate pairs; a bucket may go on in the next batch.
+
+    With ``every``, all of them, a < b. Otherwise, for every class, its nearest partner in the bucket (kind 0, with the
+    bitmaps' distance as rank) and its partner with most partners there (kind 1, with minus their number as rank).
+    """
+    fields = ["a", "b", "kind", "rank"]
+
+    def best(a: np.ndarray, b: np.ndarray, at: np.ndarray, rank: np.ndarray, kind: int) -> pa.RecordBatch:
+        order = np.lexsort((b, rank, a, at))
+        a, b, at, rank = a[order], b[order], at[order], rank[order]
+        keep = np.concatenate([[True], (a[1:] != a[:-1]) | (at[1:] != at[:-1])])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(a[keep]), pa.array(b[keep]), pa.array(np.full(int(keep.sum()), kind, np.int32)), pa.array(rank[keep].astype(np.int32))], names=fields)
 
     def pairs_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
         bucket = np.stack([t.column(c).to_numpy() for c in ("token", "i", "j")])
@@ -164,18 +175,18 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int, every: bool) ->
                 a, b = first[gx] + place // size[gy], first[gy] + place % size[gy]
                 ok = root[a] != root[b]
                 a, b, gx, gy, limit = a[ok], b[ok], gx[ok], gy[ok], (n[gx] + n[gy] - 2 * need[begin:last][which])[ok]
-                ok = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= limit
-                low, high, at = np.minimum(rep[a], rep[b])[ok], np.maximum(rep[a], rep[b])[ok], end[gx][ok]
-                ok = low != high
-                low, high, at = low[ok], high[ok], at[ok]
-                if not every and len(low):  # of each class in each bucket, the pair with its smallest partner
-                    order = np.lexsort((low, high, at))
-                    low, high, at = low[order], high[order], at[order]
-                    keep = np.concatenate([[True], (high[1:] != high[:-1]) | (at[1:] != at[:-1])])
-                    low, high = low[keep], high[keep]
-                if len(low):
-                    both = np.unique(np.stack([low, high], 1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=fields)
+                far = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+                ok = (far <= limit) & (rep[a] != rep[b])
+                a, b, at, far = rep[a[ok]], rep[b[ok]], end[gx[ok]], far[ok]
+                if every and len(a):
+                    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+                    zero = pa.array(np.zeros(len(both), np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), zero, zero], names=fields)
+                elif len(a):
+                    a, b, at, far = np.append(a, b), np.append(b, a), np.append(at, at), np.append(far, far)
+                    yield best(a, b, at, far, 0)
+                    _, which, degree = np.unique(np.stack([at, b], 1), axis=0, return_inverse=True, return_counts=True)
+                    yield best(a, b, at, -degree[which.ravel()], 1)
                 begin = last
             start = stop
 
@@ -193,20 +204,17 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int, every: bool) ->
         yield from pairs_of(held.combine_chunks())
 
 
-def candidate_pairs(groups: DataFrame, tokens: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
-    """Distinct candidate pairs of classes (a < b). With roots, all those between different components."""
+def candidate_pairs(members: DataFrame, tokens: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
+    """Candidate pairs of classes (a < b), distinct. With roots, all those between different components."""
     if roots is None:
-        rows = groups.select("gid", "n", F.transform("members", lambda m: F.struct(m["rep"].alias("rep"), m["rep"].alias("root"), m["bitmap"].alias("bitmap"))).alias("members"))
+        rooted = members.withColumn("root", F.col("cls"))
     else:
-        rows = (
-            groups.select("gid", "n", F.posexplode("members").alias("k", "m"))
-            .join(roots, F.col("m.rep") == F.col("node"), "left")
-            .groupBy("gid", "n").agg(F.collect_list(F.struct(F.col("m.rep").alias("rep"), F.coalesce("root", F.col("m.rep")).alias("root"), F.col("m.bitmap").alias("bitmap"))).alias("members"))
-        )
-        of_group = rows.select("gid", F.array_min("members.root").alias("low"), F.array_max("members.root").alias("high"))
-        spread = tokens.join(of_group, "gid")
-        open_tokens = spread.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("token")
-        tokens = tokens.join(open_tokens, "token")
+        rooted = members.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
+        spread = rooted.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        still = tokens.join(spread, "gid").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("token")
+        tokens = tokens.join(still, "token")
+    wanted = tokens.select("gid").distinct()
+    rows = rooted.join(wanted, "gid").groupBy("gid", "n").agg(F.collect_list(F.struct(F.col("cls").alias("rep"), "root", "bitmap")).alias("members"))
     blocks = F.ceil(F.col("count") / BLOCK).cast("bigint")
     dealt = (
         tokens.withColumn("block", F.pmod(F.xxhash64("gid"), blocks))
@@ -214,10 +222,24 @@ def candidate_pairs(groups: DataFrame, tokens: DataFrame, roots: DataFrame | Non
         .select("gid", "token", "pos", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     )
     bucket_rows = dealt.join(rows, "gid").select("token", "i", "j", "block", "n", "pos", "members")
-    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = bucket_rows.repartition(n, "token", "i", "j").sortWithinPartitions("token", "i", "j")
     every = roots is not None
-    return placed.mapInArrow(lambda it: _candidates(it, percent, every), "a bigint, b bigint").distinct()
+    found = placed.mapInArrow(lambda it: _candidates(it, percent, every), "a bigint, b bigint, kind int, rank int")
+    if every:
+        return found.select("a", "b").distinct()
+    chosen = found.groupBy("a", "kind").agg(F.min(F.struct("rank", "b"))["b"].alias("b"))
+    return chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def bloom(keys: DataFrame) -> np.ndarray:
+    """One bit per hashed key, in a bitmap of fixed size (8 MB), for filtering rows before a join on the key."""
+    slot = F.pmod(F.xxhash64(keys.columns[0]), F.lit(BLOOM_BITS))
+    words = (keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", 5).alias("word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 32 as int))")).alias("bits")).toPandas())
+    out = np.zeros(BLOOM_BITS // 32, np.uint32)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    return out
 
 
 def _digest(x: np.ndarray) -> tuple[int, int]:
@@ -227,16 +249,27 @@ def _digest(x: np.ndarray) -> tuple[int, int]:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose sets are similar enough. Sets are made again, from one text of each class that needs them."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "rep"), "cls").select(F.col("rep").alias("doc_id")).distinct()
+    """The pairs whose sets are similar enough. Sets are made again, from one text of each class that needs them.
+
+    A bitmap of the ids wanted keeps all other texts from being hashed, and no text is shuffled; the join that follows
+    is on the sets' digests.
+    """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "rep"), "cls").select(F.col("rep").alias("doc_id"), "cls")
+    wanted = cut_lineage(wanted)
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(wanted.select("doc_id").distinct()))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, -1):
-            made = [s for s in shingle_sets(_texts(batch), width) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(s)[0] for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], names=["id", "set"])
+            slot = batch.column(1).to_numpy()
+            hit = (shared.value[slot >> 5] >> (slot & 31).astype(np.uint32)) & np.uint32(1)
+            part = batch.filter(pa.array(hit.astype(bool)))
+            made = shingle_sets(_texts(part), width)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([_digest(s)[0] if len(s) else 0 for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], names=["doc_id", "cls", "set"])
 
-    texts = docs.join(wanted, "doc_id").select("doc_id", "text")
-    made = cut_lineage(texts.mapInArrow(sets, "id bigint, set binary").dropDuplicates(["id"]))
+    slots = docs.filter("doc_id is not null").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS)).alias("slot"), "text")
+    made = slots.mapInArrow(sets, "doc_id bigint, cls bigint, set binary").join(wanted, ["doc_id", "cls"]).dropDuplicates(["cls"])
+    made = cut_lineage(made.select(F.col("cls").alias("id"), "set"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, -1):
@@ -260,19 +293,24 @@ def jaccard_components(documents: DataFrame, width: int = 5, percent: int = 80)
     found = cut_lineage(signatures(docs, width, percent))
     class_key = ["n", "d1", "d2"]
     linkable = found.filter("n > 0 and doc_id is not null")
-    classes = cut_lineage(linkable.groupBy(*class_key).agg(
-        F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("p1", "p2", "prefix", "bitmap")]).withColumn("cls", F.col("d1")))
-    groups = cut_lineage(grouped(classes))
-    spread = groups.select("gid", F.posexplode("prefix").alias("pos", "token"), F.size("members").alias("m"))
-    often = spread.groupBy("token").agg(F.count(F.lit(1)).alias("count")).filter("count > 1")
-    inner = groups.filter(F.size("members") > 1).select("gid", F.element_at("prefix", 1).alias("token"), F.lit(0).alias("pos"), F.lit(1).cast("bigint").alias("count"))
-    tokens = cut_lineage(spread.join(often, "token").select("gid", "token", "pos", "count")
-                         .unionByName(inner.join(often, "token", "left_anti").select("gid", "token", "pos", "count")))
-    near = cut_lineage(candidate_pairs(groups, tokens, None, percent))
+    classes = cut_lineage(linkable.groupBy(*class_key, "p1", "p2").agg(F.min("doc_id").alias("rep")).withColumn("cls", F.col("d1")))
+    placed = grouped(classes)
+    members = cut_lineage(linkable.select("doc_id", "d1", "n", "prefix", "bitmap")
+                          .join(placed, (F.col("doc_id") == F.col("rep")) & (F.col("d1") == F.col("cls"))).dropDuplicates(["cls"])
+                          .select("cls", "gid", "n", "bitmap", F.when(F.col("cls") == F.col("gid"), F.col("prefix")).alias("prefix")))
+    sizes = members.groupBy("gid").agg(F.count(F.lit(1)).alias("m"))
+    several = sizes.filter("m > 1")
+    # a bucket is a prefix shingle; a group that holds several classes also has a bucket of its own, named by its gid
+    spread = members.filter("prefix is not null").select(F.posexplode("prefix").alias("pos", "token"), "gid")
+    shared = spread.withColumn("count", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("count > 1").select("gid", "token", "pos", "count")
+    inner = several.select("gid", F.col("gid").alias("token"), F.lit(0).alias("pos"), F.lit(1).cast("bigint").alias("count"))
+    tokens = shared.unionByName(inner).persist(StorageLevel.DISK_ONLY)
+    near = cut_lineage(candidate_pairs(members, tokens, None, percent))
     first = cut_lineage(verified(near, docs, classes, width, percent))
-    more = cut_lineage(candidate_pairs(groups, tokens, components(first), percent).join(near, ["a", "b"], "left_anti"))
+    more = cut_lineage(candidate_pairs(members, tokens, components(first), percent).join(near, ["a", "b"], "left_anti"))
+    tokens.unpersist()
     links = first.unionByName(verified(more, docs, classes, width, percent))
-    # copies hang on their class's smallest id, and so do the links
+    # the links' ends become their classes' smallest ids
     of_class = classes.select("cls", "rep")
     named = (links.join(of_class.toDF("a", "x"), "a").join(of_class.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
     copies = linkable.select(*class_key, "doc_id").join(classes.select(*class_key, "rep"), class_key)
