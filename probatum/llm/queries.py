@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probatum.llm import bpe, chat, itq, mixing, ngramjoin, quality, topk, toxicity
+from probatum.llm import bpe, chat, html_extract, itq, mixing, ngramjoin, quality, topk, toxicity
 from probatum.llm.common import crc32_mod, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -158,3 +158,9 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"]).select(
+        "page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
