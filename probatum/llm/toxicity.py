@@ -10,8 +10,8 @@ A text's score compares the two log-likelihoods, normalised by its length: the l
 that of its most suspicious word, and what clearly toxic words add up to over the root of the length. A logistic curve
 turns the three into a probability. Class counts and curve come from disjoint parts of the labelled rows.
 
-Bounds: the model keeps the ``MODEL_GRAMS`` most frequent grams of the labelled rows and the curve is fitted on at most
-``CURVE_ROWS`` rows; both are parameters. The shared counts cover all documents.
+Bounds: at most ``TEACH_ROWS`` labelled rows of each class teach, in hash order, and the model keeps the grams that are
+frequent enough for at most ``MODEL_GRAMS`` of them; both are parameters. The shared counts cover all documents.
 
 Stated cases: a null text scores as an empty one, by the curve's value for no evidence; rows without an id or with a
 null label teach nothing; with one class missing every score is the share of the class seen; repeated rows score alike;
@@ -36,8 +36,8 @@ ORDER = 5  # letters of the grams behind the shared counts
 LONGEST = 16  # letters of a word beyond which both classes use the shared distribution
 DISCOUNT = 0.75
 START, STOP = "\x02", "\x03"
-MODEL_GRAMS = 400_000
-CURVE_ROWS = 20_000
+TEACH_ROWS = 10_000
+MODEL_GRAMS = 200_000
 CLEAR = 2.0  # log-ratio of a word beyond which it is evidence by itself
 WORDS_AT_ONCE = 200_000  # distinct words held by a task
 FEATURES = ["mean", "peak", "evidence"]
@@ -55,12 +55,6 @@ def _grams(word: bytes) -> list[str]:
     return [w[i : i + ORDER] for i in range(len(w) - ORDER + 1)]
 
 
-def _prefixes(word: bytes) -> list[str]:
-    """The word up to each letter."""
-    w = word.decode("utf-8", "surrogatepass") + STOP
-    return [w[:i] for i in range(1, min(len(w), LONGEST) + 1)]
-
-
 def corpus_grams(docs: DataFrame) -> DataFrame:
     """The distinct grams of the highest order in all documents. Tasks drop repeats before the shuffle."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,30 +75,37 @@ def corpus_grams(docs: DataFrame) -> DataFrame:
 
 
 def class_counts(labelled: DataFrame) -> DataFrame:
-    """(gram, toxic, ordinary): how often words of each class begin with a gram, the most frequent MODEL_GRAMS."""
+    """(gram, toxic, ordinary): how often words of each class begin with a gram, the most frequent MODEL_GRAMS at most."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bytes], int] = {}
+        held: dict[bytes, list[int]] = {}
 
-        def grams() -> pa.RecordBatch:
-            sums: dict[str, list[int]] = {}
-            for (label, w), n in held.items():
-                for g in _prefixes(w):
-                    sums.setdefault(g, [0, 0])[label] += n
+        def words() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array(list(sums), pa.string()), *(pa.array([v[k] for v in sums.values()], pa.int64()) for k in (1, 0))], names=["gram", "toxic", "ordinary"])
+                [pa.array([w.decode("utf-8", "surrogatepass") + STOP for w in held], pa.string()), *(pa.array([n[k] for n in held.values()], pa.int64()) for k in (1, 0))],
+                names=["word", "toxic", "ordinary"])
 
         for batch in slices(batches, -1):
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for w in split_words(text):
-                    held[label, w] = held.get((label, w), 0) + 1
+                    held.setdefault(w, [0, 0])[label] += 1
             if len(held) > WORDS_AT_ONCE:
-                yield grams()
+                yield words()
                 held = {}
-        yield grams()
-
-    counts = labelled.select("label", "text").mapInArrow(work, "gram string, toxic bigint, ordinary bigint")
-    return (counts.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-            .orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "gram").limit(MODEL_GRAMS))
+        yield words()
+
+    counts = (labelled.select("label", "text").mapInArrow(work, "word string, toxic bigint, ordinary bigint")
+              .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
+    prefix = F.transform(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(LONGEST))), lambda n: F.substring(F.col("word"), F.lit(1), n))
+    grams = cut_lineage(counts.select(F.explode(prefix).alias("gram"), "toxic", "ordinary")
+                        .groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
+    seen = F.col("toxic") + F.col("ordinary")
+    # the lowest count that few enough grams reach, from the numbers of grams with the counts up to a thousand
+    sizes = {r["seen"]: r["count"] for r in grams.groupBy(F.least(seen, F.lit(1000)).alias("seen")).count().collect()}
+    least, total = 1001, 0
+    while least > 1 and total + sizes.get(least - 1, 0) <= MODEL_GRAMS:
+        least -= 1
+        total += sizes.get(least, 0)
+    return grams.filter(seen >= min(least, 1000))
 
 
 def _context(gram: Column, order: int) -> Column:
@@ -160,10 +161,13 @@ class Scorer:
         self.cache: dict[bytes, float] = {}
 
     def word(self, w: bytes) -> float:
-        total, grams, contexts = 0.0, self.grams, self.contexts
-        for g in _prefixes(w):
-            r = grams.get(g)
-            total += contexts.get(g[:-1], 0.0) if r is None else r
+        total, grams = 0.0, self.grams
+        text = w.decode("utf-8", "surrogatepass") + STOP
+        for n in range(1, min(len(text), LONGEST) + 1):
+            r = grams.get(text[:n])
+            if r is None:  # nor is any longer beginning of the word in the model
+                return total + self.contexts.get(text[: n - 1], 0.0)
+            total += r
         return total
 
     def features(self, text: str | None) -> tuple[float, float, float]:
@@ -226,11 +230,13 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, teach: Column, keep
     docs = typed(documents, doc_id="bigint", text="string")
     known = (labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
              .filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & teach).dropDuplicates(["doc_id"]))
+    turn = F.xxhash64("doc_id")
+    known = (known.filter("label = 1").orderBy(turn, "doc_id").limit(TEACH_ROWS)
+             .unionByName(known.filter("label = 0").orderBy(turn, "doc_id").limit(TEACH_ROWS)))
     part = F.crc32(F.concat(F.lit("curve"), F.col("doc_id").cast("string")).cast("binary")) % 3
-    labelled = docs.join(known, "doc_id")
+    labelled = docs.join(F.broadcast(known), "doc_id")  # twice TEACH_ROWS ids and labels at most
     model = documents.sparkSession.sparkContext.broadcast(log_ratios(docs, labelled.filter(part != 0)))
-    seen = (features(labelled.filter(part == 0), model, ["doc_id", "label"])
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS).toPandas())
+    seen = features(labelled.filter(part == 0).dropDuplicates(["doc_id"]), model, ["doc_id", "label"]).toPandas().sort_values("doc_id")
     x, y = seen[FEATURES].to_numpy(float), seen["label"].to_numpy(float)
     if len(set(y)) < 2:
         share = known.agg(F.coalesce(F.avg("label"), F.lit(0.5))).first()[0]
