@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probatum.llm import bpe, chat, html_extract, itq, mixing, ngramjoin, quality, topk, toxicity
+from probatum.llm import bpe, chat, html_extract, itq, linededup, mixing, ngramjoin, quality, topk, toxicity
 from probatum.llm.common import crc32_mod, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -164,3 +164,10 @@ def op10_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"]).select(
         "page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query()
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), F.col("n_removed").cast("bigint").alias("n_removed"),
+        F.length("deduped").cast("bigint").alias("kept_chars"), F.sha2(F.col("deduped").cast("binary"), 256).alias("kept_sha256"), "kept_in")
