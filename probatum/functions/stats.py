@@ -26,6 +26,8 @@ def t_cdf(t: float, df: int) -> float:
 
 def t_quantile(p: float, df: int) -> float:
     """Inverse of ``t_cdf`` by bisection; exact to double rounding."""
+    if df < 1:
+        raise ValueError(f"the t distribution needs a degree of freedom, not {df}")
     lo, hi = -1.0, 1.0
     while t_cdf(lo, df) > p:
         lo *= 2

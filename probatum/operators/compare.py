@@ -11,13 +11,11 @@ from pyspark.sql import functions as F
 from probatum.functions.cells import pair_kind
 from probatum.operators.grouping import once
 
-# Kinds of cell difference, those that are more than formatting, and the report defaults.
+# Kinds of cell difference, and those that are more than formatting.
 KINDS = (
     "equal_raw", "format_only", "numeric_difference", "missing_vs_nonmissing", "unparseable", "content_difference",
 )
 MATERIAL = ("numeric_difference", "missing_vs_nonmissing", "unparseable", "content_difference")
-PREFIX_ROWS = 1100
-DETAIL_LIMIT = 10_000
 
 
 @dataclass(frozen=True)
@@ -66,9 +64,9 @@ def row_flags(pairs: DataFrame, same_length: bool | Column = True) -> DataFrame:
     return pairs.agg((ok & raw).alias("raw_equal"), (ok & fmt).alias("format_equal"))
 
 
-def details(pairs: DataFrame, row: str, limit: int = DETAIL_LIMIT) -> DataFrame:
-    """The first ``limit`` differing cells in row and column order; counts elsewhere stay complete."""
-    return pairs.filter(F.col("kind") != "equal_raw").orderBy(row, "position").limit(limit)
+def details(pairs: DataFrame, row: str) -> DataFrame:
+    """All differing cells in row and column order."""
+    return pairs.filter(F.col("kind") != "equal_raw").orderBy(row, "position")
 
 
 def multiset(cand: DataFrame, ref: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -85,9 +83,9 @@ def multiset(cand: DataFrame, ref: DataFrame, columns: Sequence[str]) -> DataFra
     )
 
 
-def multiset_details(counts: DataFrame, columns: Sequence[str], limit: int = DETAIL_LIMIT) -> DataFrame:
-    """Rows whose counts differ, in row order."""
-    return counts.filter(F.col("candidate_count") != F.col("reference_count")).orderBy(*columns).limit(limit)
+def multiset_details(counts: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """All rows whose counts differ, in row order."""
+    return counts.filter(F.col("candidate_count") != F.col("reference_count")).orderBy(*columns)
 
 
 def multiset_summary(counts: DataFrame) -> DataFrame:

@@ -168,44 +168,12 @@ def near_duplicate_degrees(
     ).select(key, "n_partners")
 
 
-def near_duplicate_pairs(df: DataFrame, key: str, features: Sequence[str], below: int) -> DataFrame:
-    """The listing of near-duplicate pairs among rows with ``key < below``.
-
-    ``below`` bounds the rows (keys are row numbers) and with them the listing, as in the audit report;
-    over whole tables use the linear forms above, which hold the same relation.
-    """
-    rows = df.filter(F.col(key) < below)
-    members = near_duplicate_members(rows, key, features)
-    ids = rows.select(key, *features).join(
-        _vectors(rows, key, features).select("first_key", *[F.col(c).alias(f"__{c}") for c in features]),
-        on=_same(features), how="inner",
-    ).select(F.col(key), "first_key")
-    named = members.join(ids, "first_key").select("feature", "block_id", "value", key)
-    a, b = named.alias("a"), named.alias("b")
-    return a.join(
-        b,
-        (F.col("a.feature") == F.col("b.feature"))
-        & (F.col("a.block_id") == F.col("b.block_id"))
-        & cells.differs(F.col("a.value"), F.col("b.value"))
-        & (F.col(f"a.{key}") < F.col(f"b.{key}")),
-    ).select(
-        F.col(f"a.{key}").alias(f"{key}_a"), F.col(f"b.{key}").alias(f"{key}_b"),
-        F.lit(1).cast("bigint").alias("n_feature_diffs"),
-    )
-
-
-def _same(features: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for c in features:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    return cond
-
-
 def duplicate_audit(
     raw: DataFrame, parsed: DataFrame, key: str, features: Sequence[str], label: str, domain: Sequence[int],
-    near_below: int | None,
+    near: bool = True,
 ) -> dict[str, DataFrame]:
-    """The five duplicate tables of the audit by name; ``near_below=None`` leaves out the pair listing."""
+    """The duplicate tables of the audit by name. ``near`` adds the near duplicates of the whole table in linear form:
+    the members of every family, and the totals."""
     from probatum.operators.parsing import invalid_labels
 
     text_columns = [c for c in raw.columns if c != key]
@@ -215,8 +183,9 @@ def duplicate_audit(
         "same_features_different_label": label_conflicts(parsed, key, features, label, domain),
         "invalid_or_missing_labels": invalid_labels(parsed, key, label, domain),
     }
-    if near_below is not None:
-        out["near_duplicate_candidates"] = near_duplicate_pairs(parsed, key, features, near_below)
+    if near:
+        out["near_duplicate_members"] = near_duplicate_members(parsed, key, features)
+        out["near_duplicate_totals"] = near_duplicate_totals(parsed, key, features)
     return out
 
 
@@ -226,9 +195,3 @@ def first_reason(reasons: DataFrame, key: str, priority: str) -> DataFrame:
     best = F.min_by(F.struct(*rest), F.col(priority)).alias("r")
     return reasons.groupBy(key).agg(best).select(key, "r.*")
 
-
-def exact_duplicate_window(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Group size by window, for tables whose largest duplicate group is known to be small."""
-    return df.select(key, F.count(F.lit(1)).over(Window.partitionBy(*columns)).alias("group_size")).filter(
-        F.col("group_size") > 1
-    )

@@ -151,10 +151,13 @@ def paired_comparison(scores: DataFrame, audit: DataFrame, pairs: Sequence[tuple
     shared = {(r.model_a, r.model_b): r.j for r in rows}
     for m, o in pairs:
         if not have.get(m) or shared.get((m, o), 0) != have[m] or have.get(o) != have[m]:
-            raise ValueError(f"models must share the same outer folds: {m}, {o}")
+            raise ValueError(f"{m} and {o} were not scored on the same folds")
     out = []
     for r in rows:
         se = ((1 / r.j + r.te / r.tr) * (r["var"] or 0.0)) ** 0.5
+        if r.j < 2:  # one shared fold: no spread, no interval
+            out.append((r.model_a, r.model_b, r.mean_diff, None, r.j - 1, None, None, None, r.share_of_folds_a_higher))
+            continue
         t = t_quantile(0.975, r.j - 1)
         out.append((r.model_a, r.model_b, r.mean_diff, se, r.j - 1, t, r.mean_diff - t * se, r.mean_diff + t * se,
                     r.share_of_folds_a_higher))
@@ -177,7 +180,7 @@ def require_complete(oof: DataFrame, ids: DataFrame, key: str, models: Sequence[
     for m in models:
         for rep in range(repeats):
             if got.get((m, rep), 0) != n:
-                raise ValueError(f"{m} repeat {rep}: {n - got.get((m, rep), 0)} samples have no OOF prediction")
+                raise ValueError(f"{m}, repeat {rep}: {n - got.get((m, rep), 0)} of {n} rows lack a prediction")
     twice = oof.groupBy("model", "repeat", key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).collect()
     if twice:
         raise ValueError(f"more than one OOF prediction: {twice[0].asDict()}")

@@ -1,6 +1,6 @@
 """Classifiers fitted on training folds only, and their cross-validation.
 
-Linear models are solved for all folds together (``linear``); trees, forests and wide problems use Spark ML.
+Every model is fitted by Spark ML, fold by fold, from a few threads.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probatum.operators import linear, preprocess, trees
-from probatum.operators.linear import Convex
+from probatum.operators import preprocess, trees
 from probatum.operators.metrics import class_metrics, confusion_counts
 from probatum.operators.splits import inner_folds, stratified_folds
+from probatum.session import cut_lineage
 
 Predict = Callable[[DataFrame], DataFrame]
 
@@ -37,7 +37,7 @@ class Learner:
 
     ``fit(train, label, labels)`` gets (key, vec, label) rows with the prepared vector ``vec`` and returns
     a function adding a ``pred`` column. ``scale`` asks for standardised columns, ``fill`` names the
-    imputation statistic. A learner with ``convex`` is solved for all folds at once while its width allows.
+    imputation statistic.
     """
 
     name: str
@@ -45,15 +45,14 @@ class Learner:
     fit: Callable[[DataFrame, str, Sequence[int]], Predict]
     scale: bool = True
     fill: str = "median"
-    convex: Convex | None = None
 
 
 def lr(name: str, features: Sequence[str], c: float = 1.0) -> Learner:
-    return Learner(name, tuple(features), logistic(c), convex=Convex("logistic", c))
+    return Learner(name, tuple(features), logistic(c))
 
 
 def svm(name: str, features: Sequence[str], c: float = 0.2) -> Learner:
-    return Learner(name, tuple(features), linear_svm(c), convex=Convex("svm", c))
+    return Learner(name, tuple(features), linear_svm(c))
 
 
 def logistic(c: float = 1.0, max_iter: int = 5000) -> Callable[[DataFrame, str, Sequence[int]], Predict]:
@@ -66,12 +65,19 @@ def logistic(c: float = 1.0, max_iter: int = 5000) -> Callable[[DataFrame, str,
             standardization=False, maxIter=max_iter, tol=1e-6, predictionCol="pred", rawPredictionCol="__raw",
             probabilityCol="__prob",
         ).fit(train)
+        require_converged(model.summary.totalIterations, max_iter)
         return lambda df: model.transform(df).drop("__raw", "__prob")
 
     return fit
 
 
-def linear_svm(c: float = 0.2, max_iter: int = 100) -> Callable[[DataFrame, str, Sequence[int]], Predict]:
+def require_converged(iterations: int, most: int) -> None:
+    """An optimiser that used up its steps has not reached the optimum."""
+    if iterations >= most:
+        raise RuntimeError(f"linear model did not converge in {most} iterations")
+
+
+def linear_svm(c: float = 0.2, max_iter: int = 1000) -> Callable[[DataFrame, str, Sequence[int]], Predict]:
     """One-vs-one linear hinge classifiers with majority vote, the lowest label on ties."""
 
     def fit(train: DataFrame, label: str, labels: Sequence[int]) -> Predict:
@@ -84,6 +90,7 @@ def linear_svm(c: float = 0.2, max_iter: int = 100) -> Callable[[DataFrame, str,
                 standardization=False, maxIter=max_iter, tol=1e-4, predictionCol=f"__p_{a}_{b}",
                 rawPredictionCol=f"__r_{a}_{b}",
             ).fit(pair)
+            require_converged(model.summary().totalIterations, max_iter)
             votes.append((a, b, model))
 
         def predict(df: DataFrame) -> DataFrame:
@@ -115,16 +122,17 @@ def _tree_fit(make: Callable[[], object]) -> Callable[[DataFrame, str, Sequence[
     return fit
 
 
-def random_forest(n_trees: int = 100, max_depth: int = 30, min_leaf: int = 1, seed: int = 0):
-    """Random forest; depth 30 is the engine's limit and stands for unrestricted trees."""
+def random_forest(n_trees: int = 100, max_depth: int = 30, min_leaf: int = 1, seed: int = 0, max_bins: int = 64):
+    """Random forest; depth 30 is the engine's limit and stands for unrestricted trees. Splits are looked for between
+    ``max_bins`` bins of a column's values."""
     return _tree_fit(lambda: RandomForestClassifier(
         numTrees=n_trees, maxDepth=max_depth, minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", seed=seed,
-        maxBins=64,
+        maxBins=max_bins,
     ))
 
 
-def shallow_tree(depth: int = 3, seed: int = 0):
-    return _tree_fit(lambda: DecisionTreeClassifier(maxDepth=depth, seed=seed, maxBins=256))
+def shallow_tree(depth: int = 3, seed: int = 0, max_bins: int = 256):
+    return _tree_fit(lambda: DecisionTreeClassifier(maxDepth=depth, seed=seed, maxBins=max_bins))
 
 
 def boosted_trees(n_rounds: int = 100, depth: int = 4, rate: float = 0.1, seed: int = 0):
@@ -192,18 +200,6 @@ def fit_fold(
     )
 
 
-def _fit_together(
-    rows: DataFrame, learner: Learner, params: linear.Params, key: str, label: str, labels: Sequence[int]
-) -> DataFrame:
-    """Predictions of a linear learner for all folds: one fit over shared passes, one prediction plan."""
-    for p in params.values():
-        preprocess.impute(learner.features, p)
-    use = rows.select("repeat", "fold", key, label, *learner.features)
-    weights = linear.fit(use, learner.features, label, labels, learner.convex, params)
-    out = linear.predict(use, learner.features, labels, learner.convex, params, weights)
-    return out.select(F.lit(learner.name).alias("model"), "repeat", "fold", key, F.col(label).alias("y"), "pred")
-
-
 def learner_statistics(rows: DataFrame, learners: Sequence[Learner]) -> dict[str, dict]:
     """Training parameters per imputation statistic, each for all folds in one pass."""
     out: dict[str, dict] = {}
@@ -228,23 +224,19 @@ def predict_folds(
     """
     params = learner_statistics(rows, learners)
     spots = sorted(params[learners[0].fill])
-    together = [x for x in learners if x.convex and x.convex.sums(len(x.features), len(labels)) <= linear.MAX_SUMS]
-    learners = [x for x in learners if x not in together]
-    with ThreadPoolExecutor(threads) as pool:
-        parts = list(pool.map(lambda x: _fit_together(rows, x, params[x.fill], key, label, labels), together))
-    if not learners:
-        return reduce(DataFrame.unionByName, parts)
+    done = []
     for rep in sorted({r for r, _ in spots}):
-        part = rows.filter(F.col("repeat") == rep).persist()  # read by every fit of the repeat
+        part = rows.filter(F.col("repeat") == rep).persist()  # read by every fit of the repeat, and by its predictions
 
         def run(task: tuple[Learner, int], rep: int = rep, part: DataFrame = part) -> DataFrame:
             x, fold = task
             return fit_fold(part, x, params[x.fill][(rep, fold)], key, label, labels, rep, fold)
 
         with ThreadPoolExecutor(threads) as pool:
-            parts += pool.map(run, [(x, fold) for r, fold in spots if r == rep for x in learners])
+            parts = list(pool.map(run, [(x, fold) for r, fold in spots if r == rep for x in learners]))
+        done.append(cut_lineage(reduce(DataFrame.unionByName, parts)))
         part.unpersist()
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, done)
 
 
 @dataclass
@@ -272,9 +264,8 @@ def run_cv(
         parts.append(predict_folds(rows, learners, key, label, labels, threads))
     cand = picks = None
     if inner is not None:
-        snapped = trees.snap_features(df, features).drop(label)
-        outer_rows = folds.select("repeat", "fold", key, label).join(snapped, key)
-        inner_rows = inner.select("repeat", "fold", "inner_fold", key, label).join(snapped, key)
+        outer_rows = folds.select("repeat", "fold", key, label).join(df.drop(label), key)
+        inner_rows = inner.select("repeat", "fold", "inner_fold", key, label).join(df.drop(label), key)
         single, cand, picks = trees.nested_single(outer_rows, inner_rows, key, features, label, labels)
         parts.append(single)
     oof = reduce(DataFrame.unionByName, parts)
@@ -372,11 +363,7 @@ def nested_search(
             continue
         x = by_name[r.candidate]
         part = rows.filter(F.col("repeat") == spot[0])
-        if x.convex is not None:
-            own = {spot: params[x.fill][spot]}
-            out = _fit_together(part, x, own, key, label, labels)
-        else:
-            out = fit_fold(part, x, params[x.fill][spot], key, label, labels, *spot)
+        out = fit_fold(part, x, params[x.fill][spot], key, label, labels, *spot)
         parts += [out.withColumn("model", F.lit(n)) for n in names]
     return reduce(DataFrame.unionByName, parts), scores
 

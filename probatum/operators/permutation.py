@@ -54,7 +54,7 @@ def tree_scores(rows: DataFrame, features: Sequence[str], labels: Sequence[int])
 
 
 def svm_scores(rows: DataFrame, key: str, features: Sequence[str], labels: Sequence[int], threads: int = 4) -> DataFrame:
-    """(perm, macro_f1) with the linear SVM, all permutations and folds solved in shared passes."""
+    """(perm, macro_f1) with the linear SVM."""
     learner = models.svm("svm", features, models.AUDIT_SVM_C)
     rows = rows.withColumnRenamed("perm", "repeat").persist()
     oof = models.predict_folds(rows, [learner], key, "y", labels, threads)
@@ -67,8 +67,7 @@ def permutation_scores(
     leak: Mapping[str, Sequence[float]], n_perm: int, seed: int = 0, learner: str = "tree", threads: int = 4,
 ) -> DataFrame:
     """(perm, clean, leaky, leaky_minus_clean); perm -1 is the observed labelling."""
-    feats = trees.snap_features(df, features) if learner == "tree" else df
-    rows = permutation_rows(df, key, label, n_perm, seed).join(feats.select(key, *features), key).persist()
+    rows = permutation_rows(df, key, label, n_perm, seed).join(df.select(key, *features), key).persist()
     leaky = zero_leak(rows, "y", {c: v for c, v in leak.items() if c in features})
 
     def score(r: DataFrame) -> DataFrame:

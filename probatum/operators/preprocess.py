@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from probatum.session import cut_lineage
 
-# A group's histogram is handed to one task only while it has at most this many distinct values.
-DIRECT_VALUES = 1_000_000
-PARTS = 512
+PARTS = 512  # ordered parts of a column's values
 
 
 def train_histogram(assigned: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -39,21 +37,15 @@ def train_histogram(assigned: DataFrame, features: Sequence[str]) -> DataFrame:
     return wide.select("feature", "value", "repeat", "fold", n.alias("n")).filter(F.col("n") > 0)
 
 
-def exact_quantile(
-    hist: DataFrame, keys: Sequence[str], split_key: str, prob: float, out: str, direct_values: int = DIRECT_VALUES
-) -> DataFrame:
+def exact_quantile(hist: DataFrame, keys: Sequence[str], split_key: str, prob: float, out: str) -> DataFrame:
     """Exact interpolated quantile of a (keys, value, n) histogram.
 
-    While every key has few distinct values (measured, not assumed) the built-in weighted ``percentile``
-    does it. Beyond that, values are cut into ordered parts at approximate quantiles gathered per
-    ``split_key``; part totals locate the part holding each rank, and only that part is sorted.
+    Values are cut into ordered parts at approximate quantiles gathered per ``split_key``; part totals locate
+    the part holding each rank, and only that part is sorted. The parts decide the work, never the result.
     """
     edges = hist.groupBy(split_key).agg(
-        F.approx_count_distinct("value").alias("d"),
         F.percentile_approx("value", F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)]), 10000).alias("cuts"),
     ).collect()  # one row of PARTS numbers per column of the table
-    if all(r.d <= direct_values for r in edges):
-        return hist.groupBy(*keys).agg(F.percentile("value", F.lit(prob), F.col("n")).alias(out))
     part: Column = F.lit(0)
     for r in edges:
         cuts = sorted(set(r.cuts))
@@ -76,14 +68,15 @@ def exact_quantile(
         F.max(F.when(inside(lo), F.col("value"))).alias("a"), F.max(F.when(inside(hi), F.col("value"))).alias("b"),
         F.first("__at").alias("at"),
     )
-    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))
+    share = F.col("at") - F.floor("at")
+    value = F.when(share == 0, F.col("a")).otherwise((F.ceil("at") - F.col("at")) * F.col("a") + share * F.col("b"))
     return ends.select(*keys, value.alias(out))
 
 
-def train_medians(assigned: DataFrame, features: Sequence[str], direct_values: int = DIRECT_VALUES) -> DataFrame:
+def train_medians(assigned: DataFrame, features: Sequence[str]) -> DataFrame:
     """(feature, repeat, fold, median) over each training part, missing values ignored."""
     h = train_histogram(assigned, features)
-    return exact_quantile(h, ["feature", "repeat", "fold"], "feature", 0.5, "median", direct_values)
+    return exact_quantile(h, ["feature", "repeat", "fold"], "feature", 0.5, "median")
 
 
 def train_modes(assigned: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -93,7 +86,7 @@ def train_modes(assigned: DataFrame, features: Sequence[str]) -> DataFrame:
     )
 
 
-def train_statistics(assigned: DataFrame, features: Sequence[str], direct_values: int = DIRECT_VALUES) -> DataFrame:
+def train_statistics(assigned: DataFrame, features: Sequence[str]) -> DataFrame:
     """(feature, repeat, fold, median, mean, std): imputation and scaling parameters of every training part.
 
     Mean and population deviation are those of the imputed column, merged from per-fold moments (count,
@@ -109,7 +102,7 @@ def train_statistics(assigned: DataFrame, features: Sequence[str], direct_values
             F.coalesce(F.avg("value"), F.lit(0.0)).alias("m"), F.coalesce(F.var_pop("value"), F.lit(0.0)).alias("v"),
         )
     )
-    med = train_medians(assigned, features, direct_values)
+    med = train_medians(assigned, features)
     # features x repeats x folds rows from here on
     own = parts.select("feature", "repeat", F.col("fold").alias("__f"), "n", "miss", "m", "v")
     train = med.join(own, ["feature", "repeat"]).filter(F.col("fold") != F.col("__f"))

@@ -15,34 +15,6 @@ from pyspark.sql import functions as F
 from probatum.operators.metrics import class_metrics
 from probatum.session import cut_lineage
 
-# Features with more distinct values than this are snapped to a grid before they are counted.
-MAX_VALUES = 100_000
-GRID_BITS = 12
-
-
-def snap_features(
-    df: DataFrame, features: Sequence[str], max_values: int = MAX_VALUES, bits: int = GRID_BITS
-) -> DataFrame:
-    """Bound the distinct values of each feature; columns below the bound stay as they are.
-
-    Above it a value keeps ``bits`` significant bits of its distance from the column's middle. The grid
-    sees no label and no split, so it cannot carry any.
-    """
-    stats = df.agg(
-        *[F.approx_count_distinct(c).alias(f"d_{c}") for c in features],
-        *[F.percentile_approx(c, 0.5).alias(f"m_{c}") for c in features],
-    ).collect()[0]
-
-    def snapped(c: str) -> Column:
-        mid = F.lit(float(stats[f"m_{c}"]))
-        off = F.col(c) - mid
-        step = F.pow(F.lit(2.0), F.floor(F.log2(F.abs(off))) - (bits - 1))
-        return F.when(off == 0, mid).otherwise(mid + F.floor(off / step) * step)
-
-    wide = [c for c in features if stats[f"d_{c}"] > max_values]
-    return df.withColumns({c: snapped(c) for c in wide}) if wide else df
-
-
 def value_histogram(
     rows: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, labels: Sequence[int]
 ) -> DataFrame:

@@ -27,16 +27,16 @@ FLAG_FOLDS = 5
 
 @dataclass(frozen=True)
 class AuditSettings:
+    tail_from: int | None  # primary scope: keys from here on are left out (None: keeps all)
     label_domain: Sequence[int] = (0, 1, 2)
     scope: str = "primary"  # or "sensitivity"
     policy: str = "raw"  # sensitivity only: raw, quarantine_out_of_range, grouped_duplicates
-    tail_from: int = parsing.PRIMARY_TAIL_FROM
-    near_below: int = parsing.PRIMARY_TAIL_FROM
     k: int = 5
     repeats: int = 10
     inner_k: int = 3
     seed: int = 0
     n_perm: int = 100
+    permutation_learner: str = "svm"  # or "tree": the best single-feature tree, from histograms alone
     smoke: bool = False
     run_validation: bool = True
     drop_columns: Sequence[str] = ()
@@ -140,7 +140,7 @@ def run_full_audit(
         "duplicate_group_ids": groups.join(frame.select(key, F.col(label).alias("true")), key),
     }
     dup = D.duplicate_audit(
-        raw, prep.parsed, key, feats, label, labels, None if s.smoke else s.near_below)
+        raw, prep.parsed, key, feats, label, labels, near=not s.smoke)
     tables |= {f"duplicate_audit_{n}": t for n, t in dup.items()}
     sinks.write_tables(tables, out)
     doc: dict[str, Any] = {
@@ -188,7 +188,8 @@ def _validate(
         "paired": sinks.records(M.paired_comparison(fs, S.fold_audit(outer, label, labels), PAIRS)),
     }
     if perm_status == "completed":
-        scores = permutation.permutation_scores(data, key, label, feats, labels, s.leak, s.n_perm, s.seed).persist()
+        scores = permutation.permutation_scores(
+            data, key, label, feats, labels, s.leak, s.n_perm, s.seed, s.permutation_learner).persist()
         sinks.write_tables({"permutations": scores.filter(F.col("perm") >= 0)}, out)
         doc["permutation"] = {
             "status": perm_status,
@@ -199,7 +200,6 @@ def _validate(
     desc = describe_flags(data.select(key, *feats).join(flagged, key), key, "flag", feats, s.seed, group is not None)
     doc["persistent_errors"] = {"n_flagged": desc["n_flagged"], "feature_description_same_data": desc}
     if not s.smoke:
-        snapped = trees.snap_features(data, feats).drop(label)
-        rows = outer.select("repeat", "fold", key, label).join(snapped, key)
+        rows = outer.select("repeat", "fold", key, label).join(data.drop(label), key)
         doc["single_feature_exploratory"] = sinks.records(trees.exploratory_scores(rows, feats, label, labels))
     return doc

@@ -22,7 +22,7 @@ from probatum.operators import splits as S
 from probatum.operators import trees as T
 from probatum.plans import inputs as I
 from probatum.plans import oracle as O
-from probatum.plans.proxy import proxy_variants
+from probatum.plans.proxy import variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,7 +103,7 @@ def _with_over_column(df: DataFrame) -> DataFrame:
 
 @query("exclusions_primary", _exclusion_sql(1100, False))
 def _(spark, sf):
-    return _with_over_column(_excluded(spark, sf, P.Scope(P.PRIMARY_TAIL_FROM)))
+    return _with_over_column(_excluded(spark, sf, P.Scope(1100)))
 
 
 @query("exclusions_out_of_range", _exclusion_sql(None, True))
@@ -322,13 +322,13 @@ def _(spark, sf):
 @query("dump_prefix_kinds", f"SELECT {_KINDS}, count(*) AS n_cells_compared FROM ({O.PAIRS}) p WHERE row_index < 1100")
 def _(spark, sf):
     a, b = I.part_dumps(spark, sf)
-    n = C.PREFIX_ROWS
+    n = 1100
     return C.kind_counts(
         C.cell_pairs(C.prefix(a, "row_index", n), C.prefix(b, "row_index", n), I.DUMP_COLUMNS, "row_index"))
 
 
 @query("dump_cell_details", f"""SELECT row_index, CAST(position AS INTEGER) AS position, "column", candidate_raw,
-reference_raw, kind FROM ({O.PAIRS}) p WHERE kind <> 'equal_raw' ORDER BY row_index, position LIMIT 10000""")
+reference_raw, kind FROM ({O.PAIRS}) p WHERE kind <> 'equal_raw'""")
 def _(spark, sf):
     return C.details(pairs(spark, sf), "row_index")
 
@@ -355,8 +355,7 @@ def _(spark, sf):
     return s.withColumn("status", C.multiset_status(s, F.lit(False)))
 
 
-@query("dump_multiset_details", f"{_MULTI} SELECT * FROM m WHERE candidate_count <> reference_count "
-       "ORDER BY name, brand, type, size LIMIT 10000")
+@query("dump_multiset_details", f"{_MULTI} SELECT * FROM m WHERE candidate_count <> reference_count")
 def _(spark, sf):
     return C.multiset_details(C.multiset(*I.part_dumps(spark, sf), _NOID), _NOID)
 
@@ -666,7 +665,7 @@ _CAND = (f"{_INNER_HIST}, sc AS ({O.metrics(O.grown_counts(['repeat', 'fold', 'i
 def _outer_rows(spark, sf) -> tuple[DataFrame, DataFrame]:
     f = I.order_features(spark, sf).select(KEY, "size_label", *_TF).persist()
     folds = S.stratified_folds(f, KEY, "size_label", K, REPEATS).persist()
-    feats = T.snap_features(f, _TF).drop("size_label")
+    feats = f.drop("size_label")
     inner = S.inner_folds(folds, KEY, "size_label", K, 3)
     return folds.join(feats, KEY).persist(), inner.join(feats, KEY)
 
@@ -821,7 +820,7 @@ def _(spark, sf):
 @query("label_proxy_variants")
 def _(spark, sf):
     f = I.order_features(spark, sf).select(KEY, "size_label", *I.MODEL_FEATURES).persist()
-    v = proxy_variants(I.MODEL_FEATURES, "n_lines", ["n_lines", "disc"])
+    v = variants(I.MODEL_FEATURES, "n_lines", ["n_lines", "disc"])
     return _r(L.variant_scores(f, KEY, "size_label", LABELS, v, 3, 1))
 
 
@@ -851,5 +850,5 @@ def _(spark, sf):
     f = e.select(F.col("vec_id").alias(KEY), "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)]).persist()
     folds = S.stratified_folds(f, KEY, "label", 2, 1)
     rows = folds.join(f.drop("label"), KEY).persist()
-    o = L.predict_folds(rows, [L.Learner("lr", tuple(cols), L.logistic(max_iter=100))], KEY, "label", list(range(10)))
+    o = L.predict_folds(rows, [L.Learner("lr", tuple(cols), L.logistic(max_iter=1000))], KEY, "label", list(range(10)))
     return _json_matrix(M.class_metrics(M.confusion_counts(o, ["model"]), ["model"], list(range(10))))

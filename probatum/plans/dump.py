@@ -12,12 +12,12 @@ from probatum.sources import sinks, text
 
 
 def compare_dumps(
-    cand: DataFrame, ref: DataFrame, cand_columns: list[str], ref_columns: list[str], row: str = "row_index",
-    prefix_rows: int = C.PREFIX_ROWS, detail_limit: int = C.DETAIL_LIMIT,
+    cand: DataFrame, ref: DataFrame, cand_columns: list[str], ref_columns: list[str], prefix_rows: int,
+    row: str = "row_index",
 ) -> tuple[dict[str, Any], dict[str, DataFrame]]:
     """(summary, detail tables). Full comparison by position needs equal lengths; the prefix needs both long enough.
 
-    Counts, flags and multiset verdicts are complete; only the detail tables are limited.
+    Counts, flags, multiset verdicts and detail tables are all complete.
     """
     cols = C.align(cand_columns, ref_columns)
     tables: dict[str, DataFrame] = {}
@@ -38,17 +38,15 @@ def compare_dumps(
                 layer["raw_equal"] = k["equal_raw"] == k["n_cells_compared"]
                 layer["format_equal"] = k["equal_raw"] + k["format_only"] == k["n_cells_compared"]
                 n_diff = k["n_cells_compared"] - k["equal_raw"]
-                layer["details_truncated"] = n_diff > detail_limit
-                layer["n_difference_rows_written"] = min(n_diff, detail_limit)
+                layer["n_difference_rows_written"] = n_diff
                 n_material += sum(k[x] for x in C.MATERIAL)
-                tables[f"cell_differences_{name}"] = C.details(pairs, row, detail_limit)
+                tables[f"cell_differences_{name}"] = C.details(pairs, row)
             if by_position or n is None:
                 counts = C.multiset(a, b, cols.shared)
                 s = C.multiset_summary(counts)
                 m = s.withColumn("status", C.multiset_status(s, F.lit(layer["raw_equal"]))).collect()[0].asDict()
-                m["details_truncated"] = m["n_distinct_rows_with_count_mismatch"] > detail_limit
                 layer["multiset"] = m
-                tables[f"row_count_differences_{name}"] = C.multiset_details(counts, cols.shared, detail_limit)
+                tables[f"row_count_differences_{name}"] = C.multiset_details(counts, cols.shared)
             else:
                 layer["multiset"] = {"status": "not_comparable"}
             layers[name] = layer
@@ -65,7 +63,7 @@ def compare_dumps(
         "content_differences": n_material > 0 or bool(cols.only_candidate or cols.only_reference),
     }
     report = {
-        "prefix_rows": prefix_rows, "detail_limit": detail_limit, "statuses": status, "layers": layers,
+        "prefix_rows": prefix_rows, "statuses": status, "layers": layers,
         "columns": {
             "candidate_order": cand_columns, "reference_order": ref_columns, "order_differs": cols.order_differs,
             "shared_in_candidate_order": cols.shared, "only_in_candidate": cols.only_candidate,
@@ -83,17 +81,19 @@ def markdown(report: dict[str, Any]) -> str:
 
 
 def compare_files(
-    spark: SparkSession, candidate: str, reference: str, out: str, prefix_rows: int = C.PREFIX_ROWS,
-    detail_limit: int = C.DETAIL_LIMIT, multiline: bool = True,
+    spark: SparkSession, candidate: str, reference: str, out: str, prefix_rows: int, multiline: bool = False,
 ) -> dict[str, Any]:
     """Compare two dump files and write the report, its Markdown form and the detail tables to a new folder."""
     before = [text.file_digests(spark, p).collect() for p in (candidate, reference)]
     (a, ac), (b, bc) = (text.load_dump(spark, p, multiline=multiline) for p in (candidate, reference))
-    report, tables = compare_dumps(a.persist(), b.persist(), ac, bc, "row_index", prefix_rows, detail_limit)
+    report, tables = compare_dumps(a.persist(), b.persist(), ac, bc, prefix_rows)
     da, db = (sorted((r.raw_sha256, r.lf_sha256, r.nbytes) for r in rows) for rows in before)
     report["statuses"]["exact_file_match"] = [x[0] for x in da] == [x[0] for x in db]
     report["statuses"]["normalized_file_match"] = sorted(x[1] for x in da) == sorted(x[1] for x in db)
-    report["files"] = {"candidate": da, "reference": db}
+    report["files"] = {
+        "candidate": sinks.records(text.file_layer(spark, candidate, a, ac)),
+        "reference": sinks.records(text.file_layer(spark, reference, b, bc)),
+    }
     sinks.claim_output(spark, out)
     sinks.write_tables(tables, out)
     sinks.write_json(spark, f"{out}/comparison", report)

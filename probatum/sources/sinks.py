@@ -16,19 +16,15 @@ class OutputError(ValueError):
 
 
 def claim_output(spark: SparkSession, folder: str, **note: Any) -> None:
-    """Accept a missing or empty folder, refuse anything else, and mark the run as in progress."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(path):
-        if not fs.getFileStatus(path).isDirectory():
-            raise OutputError(f"output path exists and is not a directory: {folder}")
-        entries = [s.getPath().getName() for s in fs.listStatus(path)]
-        if entries:
-            raise OutputError(
-                f"output directory is not empty ({len(entries)} entries: {', '.join(sorted(entries)[:8])}): {folder}. "
-                "Refusing to overwrite; use a new directory."
-            )
+    """Take a folder that does not exist or has nothing in it, and mark the run as in progress."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(path):
+        held = [x.getPath().getName() for x in files.listStatus(path)] if files.getFileStatus(path).isDirectory() else None
+        if held is None:
+            raise OutputError(f"{folder} is a file")
+        if held:
+            raise OutputError(f"{folder} holds {len(held)} files already, {min(held)} among them; name a new folder")
     write_status(spark, folder, "in_progress", **note)
 
 

@@ -14,25 +14,18 @@ from probatum.functions.cells import reader_nulls_to_null
 def with_row_index(df: DataFrame, out: str = "row_index") -> DataFrame:
     """Dense zero-based row index in file order, for a DataFrame read straight from files.
 
-    File splits are packed into tasks by size, so plain generated ids do not follow the file. Here a row's
-    position inside its own file block is added to the number of rows in all blocks before it.
+    File splits are packed into tasks by size, so plain generated ids do not follow the file. The ids of one file
+    block are consecutive, though: less the block's smallest id they are positions in it, to which the number of
+    rows in all blocks before is added. Only one record per block is joined; no row moves.
     """
     cols = df.columns
-    placed = df.select(
-        *cols, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
-        F.monotonically_increasing_id().alias("__at"),
-    )
-    counts = df.groupBy(
-        F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block")
-    ).agg(F.count(F.lit(1)).alias("__n"))
+    where = {"__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start"), "__at": F.monotonically_increasing_id()}
+    placed = df.select(*cols, *[c.alias(n) for n, c in where.items()])
+    counts = placed.groupBy("__file", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
     # one row per file block
     before = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__file", "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__file", "__block").orderBy("__at")) - 1
-    return (
-        placed.withColumn("__in", inside).join(offsets, ["__file", "__block"])
-        .select((F.col("__before") + F.col("__in")).alias(out), *cols)
-    )
+    shift = counts.select("__file", "__block", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"))
+    return placed.join(shift, ["__file", "__block"]).select((F.col("__at") + F.col("__shift")).alias(out), *cols)
 
 
 def load_raw_csv(
@@ -55,13 +48,22 @@ def load_raw_csv(
     return df.select(*keep, *[reader_nulls_to_null(c).alias(c) for c in cols])
 
 
+def record_width(spark: SparkSession, path: str, multiline: bool) -> int:
+    """Cells of the widest record, separators inside quotes aside."""
+    text = spark.read.option("wholetext", multiline).text(path)
+    bare = F.regexp_replace("value", '"[^"]*"', "")
+    records = text.select(F.explode(F.split(bare, r"\r\n|\r|\n")).alias("r")) if multiline else text.select(bare.alias("r"))
+    return records.agg(F.coalesce(F.max(F.regexp_count("r", F.lit(","))), F.lit(-1)) + 1).first()[0]
+
+
 def load_dump(
-    spark: SparkSession, path: str, row: str = "row_index", multiline: bool = True, spare: int = 8
+    spark: SparkSession, path: str, row: str = "row_index", multiline: bool = False
 ) -> tuple[DataFrame, list[str]]:
     """A dump as raw text cells: (DataFrame with ``row`` and the columns, column names).
 
     The first record is the header (a byte-order mark is dropped). Short rows are padded with empty text;
-    cells beyond the header get ``__extra_col_i`` columns as far as any row has a filled cell there.
+    cells beyond the header get ``__extra_col_i`` columns as far as the widest record has any, filled or not.
+    ``multiline`` reads line breaks inside quotes, at the price of one task per file.
     """
     def read(width: int) -> DataFrame:
         schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(width)])
@@ -74,14 +76,8 @@ def load_dump(
     if not probe.columns:
         return spark.createDataFrame([], f"{row} bigint"), []
     base = len(probe.columns)
-    while True:
-        wide = read(base + spare)
-        used = wide.agg(*[F.count_if(F.col(c).isNotNull()).alias(c) for c in wide.columns]).collect()[0]
-        if not used[f"_{base + spare - 1}"]:
-            break
-        spare *= 2
-    filled = [i for i in range(base + spare) if used[f"_{i}"]]
-    width = max(base, max(filled, default=-1) + 1)
+    width = max(base, record_width(spark, path, multiline))
+    wide = read(width)
     indexed = with_row_index(wide.select(*[f"_{i}" for i in range(width)]), "__i")
     head = indexed.filter(F.col("__i") == 0).collect()[0]
     names = [(head[f"_{i}"] or "").removeprefix("﻿") for i in range(base)]
@@ -123,9 +119,8 @@ def strong_features(spark: SparkSession, report: str, field: str, threshold: flo
 
 def file_layer(spark: SparkSession, path: str, body: DataFrame, names: Sequence[str]) -> DataFrame:
     """One row per dump: bytes, digests, data rows and columns in order."""
-    n = body.agg(F.count(F.lit(1)).alias("n_data_rows"))
-    return file_digests(spark, path).join(F.broadcast(n)).select(
-        "path", "nbytes", F.lit("utf-8-sig").alias("encoding"), "raw_sha256", "lf_sha256", "n_data_rows",
+    return file_digests(spark, path).select(
+        "path", "nbytes", F.lit("utf-8-sig").alias("encoding"), "raw_sha256", "lf_sha256", F.lit(body.count()).alias("n_data_rows"),
         F.lit(len(names)).alias("n_columns"), F.array(*[F.lit(c) for c in names]).alias("columns"),
         F.lit(0).alias("row_index_base"),
     )

@@ -15,6 +15,7 @@ def run(spark, tmp_path, cand, ref=BASE, **kw):
     for n, t in (("c", cand), ("r", ref)):
         (tmp_path / f"{n}.csv").write_bytes(t.encode())
     out = str(tmp_path / "out")
+    kw.setdefault("prefix_rows", 1100)
     return dump.compare_files(spark, str(tmp_path / "c.csv"), str(tmp_path / "r.csv"), out, **kw), out
 
 
@@ -61,13 +62,13 @@ def test_short_prefix_is_not_comparable(spark, tmp_path):
     assert report["layers"]["prefix"]["multiset"]["status"] == "not_comparable"
 
 
-def test_detail_limit_keeps_counts(spark):
+def test_details_are_whole(spark):
     a = spark.range(50).selectExpr("id row_index", "cast(id as string) v")
     b = spark.range(50).selectExpr("id row_index", "cast(id + 1 as string) v")
-    report, tables = dump.compare_dumps(a, b, ["v"], ["v"], prefix_rows=10, detail_limit=5)
+    report, tables = dump.compare_dumps(a, b, ["v"], ["v"], prefix_rows=10)
     full = report["layers"]["full"]
-    assert full["counts"]["numeric_difference"] == 50 and full["details_truncated"]
-    assert [r.row_index for r in tables["cell_differences_full"].collect()] == [0, 1, 2, 3, 4]
+    assert full["counts"]["numeric_difference"] == 50 and full["n_difference_rows_written"] == 50
+    assert [r.row_index for r in tables["cell_differences_full"].collect()] == list(range(50))
 
 
 def test_multiset_counts(spark):

@@ -65,10 +65,10 @@ def test_single_unit_deviations(spark):
 
 def test_incomplete_predictions(spark):
     ids = spark.range(3)
-    with pytest.raises(ValueError, match="1 samples have no OOF prediction"):
+    with pytest.raises(ValueError, match="1 of .* rows lack a prediction"):
         M.require_complete(oof(spark, [0, 1, 2], [0, None, 2], [0] * 3), ids, "id", ["m"], 1)
     M.require_complete(oof(spark, [0, 1, 2], [0, 1, 2], [0] * 3), ids, "id", ["m"], 1)
-    with pytest.raises(ValueError, match="no OOF"):
+    with pytest.raises(ValueError, match="lack a prediction"):
         M.require_complete(oof(spark, [0, 1, 2], [0, 1, 2], [0] * 3), ids, "id", ["m"], 2)
 
 
@@ -89,10 +89,19 @@ def test_paired_interval(spark):
     var = sum((x - mean) ** 2 for x in d) / 3
     assert r.mean_diff == pytest.approx(mean) and r.corrected_se == pytest.approx(((1 / 4 + 1 / 3) * var) ** 0.5)
     assert r.df == 3 and r.share_of_folds_a_higher == 0.5
-    with pytest.raises(ValueError, match="share"):
+    with pytest.raises(ValueError, match="same folds"):
         M.paired_comparison(fs.filter("not (model = 'b' and fold = 1)"), audit, [("a", "b")])
 
 
+def test_one_shared_fold_has_no_interval(spark):
+    fs = spark.createDataFrame([("a", 0, 0, 0.5), ("b", 0, 0, 0.4)], "model string, repeat int, fold int, macro_f1 double")
+    audit = spark.createDataFrame([(0, 0, 25, 75)], "repeat int, fold int, n_valid long, n_train long")
+    r = M.paired_comparison(fs, audit, [("a", "b")]).collect()[0]
+    assert r.mean_diff == pytest.approx(0.1) and r.df == 0 and r.ci_low is None and r.corrected_se is None
+    with pytest.raises(ValueError, match="degree of freedom"):
+        t_quantile(0.975, 0)
+
+
 def test_persistent_errors(spark):
     data = [(m, rep, 0, i, 0, int(i == 0 or (i == 1 and m == "a"))) for m in "ab" for rep in range(5) for i in range(3)]
     o = spark.createDataFrame(data, "model string, repeat int, fold int, id long, y int, pred int")

@@ -43,14 +43,12 @@ def test_empty_training_column_is_an_error(spark):
         R.impute(["a", "b"], p[(0, 0)])
 
 
-def test_distributed_quantile_equals_builtin(spark):
+def test_quantile_equals_sorting(spark):
     rng = random.Random(3)
     data = [(r, f, 5.0 if rng.random() < 0.34 else rng.gauss(0, 100) ** 3, None if rng.random() < 0.2 else rng.random())
             for r in range(2) for f in range(3) for _ in range(400)]
     df = spark.createDataFrame(data, "repeat int, fold int, a double, b double")
     small = {(r.feature, r["repeat"], r.fold): r.median for r in R.train_medians(df, ["a", "b"]).collect()}
-    large = {(r.feature, r["repeat"], r.fold): r.median for r in R.train_medians(df, ["a", "b"], 1).collect()}
-    assert small == pytest.approx(large)
     for (c, rep, fold), m in small.items():
         col = [d[2 if c == "a" else 3] for d in data if d[0] == rep and d[1] != fold]
         assert m == pytest.approx(statistics.median([v for v in col if v is not None]))
@@ -116,10 +114,3 @@ def test_tie_breaks(spark):
     p = spark.createDataFrame([(0, 0, .8), (0, 2, .8), (1, 0, .7), (1, 5, .9), (2, 2, .81), (2, 6, .81)],
                               "g int, priority int, s double")
     assert {r.g: r.priority for r in T.best_priority(p, ["g"], "s", "priority").collect()} == {0: 0, 1: 5, 2: 2}
-
-
-def test_snapping_bounds_distinct_values(spark):
-    df = spark.range(20000).selectExpr("id", "pow(rand(3) * 100, 3) a", "cast(id % 5 as double) b")
-    out = T.snap_features(df, ["a", "b"], max_values=1000, bits=6)
-    assert out.select(F.countDistinct("a")).collect()[0][0] < 1500
-    assert out.select(F.countDistinct("b")).collect()[0][0] == 5

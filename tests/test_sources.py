@@ -38,11 +38,18 @@ def test_row_index_follows_the_file_over_many_blocks(spark, tmp_path):
 
 def test_dump_reader(spark, tmp_path):
     p = write(tmp_path / "d.csv", '﻿a,b\n1,"two\nlines"\n3\n"",x,extra\n')
-    df, names = text.load_dump(spark, p)
+    df, names = text.load_dump(spark, p, multiline=True)
     assert names == ["a", "b", "__extra_col_0"]
     assert rows(df) == [(0, "1", "two\nlines", ""), (1, "3", "", ""), (2, "", "x", "extra")]
 
 
+def test_dump_reader_keeps_cells_behind_gaps(spark, tmp_path):
+    p = write(tmp_path / "d.csv", "a,b\n1,2\n3,4" + "," * 9 + "kept\n5\n\"6,x\",7,\n")
+    df, names = text.load_dump(spark, p)
+    assert names == ["a", "b", *[f"__extra_col_{i}" for i in range(9)]]
+    assert rows(df) == [(0, "1", "2", *[""] * 9), (1, "3", "4", *[""] * 8, "kept"), (2, "5", *[""] * 10), (3, "6,x", "7", *[""] * 9)]
+
+
 def test_digests(spark, tmp_path):
     crlf, lf = bytes(range(256)) + b"a\r\nb\rc\n", bytes(range(13)) + b"\n" + bytes(range(14, 256)) + b"a\nb\nc\n"
     p, q = write(tmp_path / "p.bin", crlf), write(tmp_path / "q.bin", lf)
@@ -64,11 +71,11 @@ def test_output_is_never_overwritten(spark, tmp_path):
     out = tmp_path / "run"
     sinks.claim_output(spark, str(out))
     assert sinks.read_status(spark, str(out)) == "in_progress"
-    with pytest.raises(sinks.OutputError, match="not empty"):
+    with pytest.raises(sinks.OutputError, match="already"):
         sinks.claim_output(spark, str(out))
     sinks.write_status(spark, str(out), "completed")
     assert sinks.read_status(spark, str(out)) == "completed"
-    with pytest.raises(sinks.OutputError, match="not a directory"):
+    with pytest.raises(sinks.OutputError, match="is a file"):
         sinks.claim_output(spark, write(tmp_path / "f", "x"))
     df = spark.sql("select 1 a, array(array(1, 2)) m")
     sinks.write_table(df, str(out / "t"))
