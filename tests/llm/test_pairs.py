@@ -83,6 +83,7 @@ def test_jaccard_of_an_empty_table(spark):
 
 
 def vectors(spark, rows):
+    rows = [(i, e and [v if v is None else float(v) for v in e], c) for i, e, c in rows]
     return spark.createDataFrame([(i, e, c, 1) for i, e, c in rows], "vec_id bigint, embedding array<float>, label int, rank int")
 
 
@@ -134,7 +135,7 @@ def test_embedding_links_against_all_pairs(spark, monkeypatch):
 
 def test_line_dedup(spark):
     a = "the quick brown fox jumps over the lazy dog near the river bank this very early morning before anyone else had come"
-    b = a.replace("lazy", "lamy")
+    b = a.replace(" over", ", over;")
     other = "an entirely different line of text that nobody would ever confuse with the first one about any fox or dog"
     rows = [(3, f"{a}\nshort line\n{other}"), (1, f"short line\n{b}"), (2, f"  {a.upper()}  "), (4, None), (5, ""), (6, "short line"), (None, other), (7, other), (7, other)]
     df = spark.createDataFrame([(i, t, 4, "z") for i, t in rows], "doc_id bigint, text string, n_lines int, `Deduped` string")
