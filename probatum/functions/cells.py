@@ -189,3 +189,14 @@ def band(v: Column | str, edges: Sequence[float], names: Sequence[str]) -> Colum
     for hi, name in zip(edges[1:], names):
         out = out.when(v < hi, F.lit(name))
     return out
+
+
+def number_text(x: Column) -> Column:
+    """A double as text without an exponent between 1e-4 and 1e16, and as ``1.5e+16`` or ``1e-05`` outside."""
+    text, size = x.cast("string"), F.abs(x)
+    plain = F.regexp_replace(x.cast("decimal(38,18)").cast("string"), "0+$", "")
+    plain = F.when(F.endswith(plain, F.lit(".")), F.concat(plain, F.lit("0"))).otherwise(plain)
+    power = F.substring_index(text, "E", -1).cast("int")
+    short = F.concat(F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", ""), F.lit("e"), F.when(power < 0, "-").otherwise("+"),
+                     F.lpad(F.abs(power).cast("string"), 2, "0"))
+    return F.when(~F.contains(text, F.lit("E")), text).when((size >= 1e-4) & (size < 1e16), plain).otherwise(short)

@@ -87,7 +87,7 @@ def judge(
             *[
                 F.when(
                     F.col(c) > rules.max_of(c),
-                    F.concat(F.lit(f"{c}="), F.col(c).cast("string"), F.lit(f" > provisional_max={rules.max_of(c)}")),
+                    F.concat(F.lit(f"{c}="), cells.number_text(F.col(c).cast("double")), F.lit(f" > provisional_max={rules.max_of(c)}")),
                 )
                 for c in features
             ]

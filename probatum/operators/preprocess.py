@@ -128,6 +128,19 @@ def parameters(stats: DataFrame) -> dict[tuple[int, int], dict[str, tuple[float,
     return out
 
 
+def scale_by_fold(assigned: DataFrame, features: Sequence[str], stats: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """(keep, features): every row imputed and standardised with the parameters of its own (repeat, fold), by one join."""
+    one = F.struct("feature", F.struct("median", "mean", "std"))
+    # repeats x folds rows
+    per_fold = stats.groupBy("repeat", "fold").agg(F.map_from_entries(F.collect_list(one)).alias("__of"))
+
+    def ready(c: str) -> Column:
+        p = F.element_at("__of", F.lit(c))
+        return ((F.coalesce(F.col(c), p["median"]) - p["mean"]) / p["std"]).alias(c)
+
+    return assigned.join(F.broadcast(per_fold), ["repeat", "fold"]).select(*keep, *map(ready, features))
+
+
 def impute(features: Sequence[str], params: dict[str, tuple[float, float, float]]) -> list[Column]:
     absent = [c for c in features if c not in params]
     if absent:

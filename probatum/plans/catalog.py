@@ -508,13 +508,8 @@ def train_statistics(spark, sf):
     f"WHERE s.feature = '{c}' AND s.repeat = a.repeat AND s.fold = a.fold), 5) AS {c}" for c in I.MODEL_FEATURES)} FROM a""")
 def _(spark, sf):
     rows = assigned(spark, sf).persist()
-    params = R.parameters(R.train_statistics(rows, I.MODEL_FEATURES))
-    parts = [
-        rows.filter((F.col("repeat") == rep) & (F.col("fold") == fold)).select(
-            "repeat", "fold", KEY, *R.impute_scale(I.MODEL_FEATURES, p))
-        for (rep, fold), p in sorted(params.items())
-    ]
-    return _r(reduce(DataFrame.unionByName, parts), 5)
+    stats = R.train_statistics(rows, I.MODEL_FEATURES)
+    return _r(R.scale_by_fold(rows, I.MODEL_FEATURES, stats, ["repeat", "fold", KEY]), 5)
 
 
 # metrics ------------------------------------------------------------------------------------------

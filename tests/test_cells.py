@@ -79,3 +79,9 @@ def test_bands_are_half_open(spark):
 def test_null_safe_difference(spark):
     df = spark.createDataFrame([(1.0, 1.0), (None, None), (3.0, 4.0), (None, 1.0)], "a double, b double")
     assert [r[0] for r in df.select(cells.differs("a", "b")).collect()] == [False, False, True, True]
+
+
+def test_number_text(spark):
+    values = [0.0, 1.0, 2.5, 1e7, 12345678.9, 1e15, 1e16, 2.5e20, 1e-3, 5e-4, 1e-5, 1.25e-7, -3e9]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r[0] for r in df.select(cells.number_text(df.v)).collect()] == [repr(v) for v in values]

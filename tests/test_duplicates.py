@@ -90,9 +90,10 @@ def test_groups_match_brute_force(spark, hot):
 def test_audit_bundle(spark):
     raw = spark.createDataFrame([(0, "1", "0"), (1, "1", "0"), (2, "1", "1"), (3, "2", "x")], "id long, a string, y string")
     parsed = raw.selectExpr("id", "try_cast(a as double) a", "try_cast(y as double) y")
-    out = D.duplicate_audit(raw, parsed, "id", ["a"], "y", [0, 1, 2], 100)
+    out = D.duplicate_audit(raw, parsed, "id", ["a"], "y", [0, 1, 2])
     assert rows(out["exact_duplicate_rows"]) == [(0,), (1,)]
     assert out["same_features_different_label"].count() == 3
     assert [r.id for r in out["invalid_or_missing_labels"].collect()] == [3]
-    assert out["near_duplicate_candidates"].count() == 3
-    assert "near_duplicate_candidates" not in D.duplicate_audit(raw, parsed, "id", ["a"], "y", [0, 1, 2], None)
+    assert [r.n_pairs for r in out["near_duplicate_totals"].collect()] == [3]
+    assert {(r.value, r.copies) for r in out["near_duplicate_members"].collect()} == {("1.0", 3), ("2.0", 1)}
+    assert "near_duplicate_totals" not in D.duplicate_audit(raw, parsed, "id", ["a"], "y", [0, 1, 2], near=False)
