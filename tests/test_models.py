@@ -60,8 +60,8 @@ RULES = RuleSet({"y": FieldRule("y", 0.0, 2.0, True, (0.0, 1.0, 2.0))}, {"f3": 2
 
 def test_full_audit(spark, tmp_path):
     out = str(tmp_path / "run")
-    s = audit.AuditSettings(tail_from=110, k=2, repeats=1, inner_k=2, n_perm=2, permutation_learner="tree", n_trees=3, max_depth=4,
-                            drop_columns=("f2",), leak={"f1": (1, 2, 3)}, posthoc="f1 > 4 and y < 2", smoke=True)
+    s = audit.AuditSettings(tail_from=110, k=2, repeats=1, inner_k=2, n_perm=2, permutation_learner="tree", n_trees=3,
+                            max_depth=4, drop_columns=("f2",), leak={"f1": (1, 2, 3)}, posthoc="f1 > 4 and y < 2", smoke=True)
     doc = audit.run_full_audit(raw(spark), "id", "y", RULES, s, out)
     assert doc["sample"]["rows_used"] == 109
     assert {r["model"] for r in doc["models"]} == {"dummy", "lr_all", "rf_all", "svm_all", "lr_no_psych", "nested_single"}
