@@ -77,7 +77,7 @@ def require_converged(iterations: int, most: int) -> None:
         raise RuntimeError(f"linear model did not converge in {most} iterations")
 
 
-def linear_svm(c: float = 0.2, max_iter: int = 100) -> Callable[[DataFrame, str, Sequence[int]], Predict]:
+def linear_svm(c: float = 0.2, max_iter: int = 40) -> Callable[[DataFrame, str, Sequence[int]], Predict]:
     """One-vs-one linear hinge classifiers with majority vote, the lowest label on ties.
 
     The hinge has a kink, near which the optimiser rarely meets a tolerance; ``max_iter`` says how far it goes.
