@@ -10,8 +10,8 @@ A text's score compares the two log-likelihoods, normalised by its length: the l
 that of its most suspicious word, and what clearly toxic words add up to over the root of the length. A logistic curve
 turns the three into a probability. Class counts and curve come from disjoint parts of the labelled rows.
 
-Bounds: at most ``TEACH_ROWS`` labelled rows of each class teach, in hash order, and the model keeps the grams that are
-frequent enough for at most ``MODEL_GRAMS`` of them; both are parameters. The shared counts cover all documents.
+Bounds: at most ``TEACH_ROWS`` labelled rows of each class teach, in hash order; the model keeps every gram of theirs, so
+its size follows from that sample. The shared counts cover all documents.
 
 Stated cases: a null text scores as an empty one, by the curve's value for no evidence; rows without an id or with a
 null label teach nothing; with one class missing every score is the share of the class seen; repeated rows score alike;
@@ -37,7 +37,6 @@ LONGEST = 16  # letters of a word beyond which both classes use the shared distr
 DISCOUNT = 0.75
 START, STOP = "\x02", "\x03"
 TEACH_ROWS = 10_000
-MODEL_GRAMS = 200_000
 CLEAR = 2.0  # log-ratio of a word beyond which it is evidence by itself
 WORDS_AT_ONCE = 200_000  # distinct words held by a task
 FEATURES = ["mean", "peak", "evidence"]
@@ -75,7 +74,7 @@ def corpus_grams(docs: DataFrame) -> DataFrame:
 
 
 def class_counts(labelled: DataFrame) -> DataFrame:
-    """(gram, toxic, ordinary): how often words of each class begin with a gram, the most frequent MODEL_GRAMS at most."""
+    """(gram, toxic, ordinary): how often words of each class begin with a gram."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list[int]] = {}
 
@@ -96,16 +95,8 @@ def class_counts(labelled: DataFrame) -> DataFrame:
     counts = (labelled.select("label", "text").mapInArrow(work, "word string, toxic bigint, ordinary bigint")
               .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
     prefix = F.transform(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(LONGEST))), lambda n: F.substring(F.col("word"), F.lit(1), n))
-    grams = cut_lineage(counts.select(F.explode(prefix).alias("gram"), "toxic", "ordinary")
-                        .groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
-    seen = F.col("toxic") + F.col("ordinary")
-    # the lowest count that few enough grams reach, from the numbers of grams with the counts up to a thousand
-    sizes = {r["seen"]: r["count"] for r in grams.groupBy(F.least(seen, F.lit(1000)).alias("seen")).count().collect()}
-    least, total = 1001, 0
-    while least > 1 and total + sizes.get(least - 1, 0) <= MODEL_GRAMS:
-        least -= 1
-        total += sizes.get(least, 0)
-    return grams.filter(seen >= min(least, 1000))
+    return (counts.select(F.explode(prefix).alias("gram"), "toxic", "ordinary")
+            .groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
 
 
 def _context(gram: Column, order: int) -> Column:
@@ -134,7 +125,7 @@ def shared_backoff(grams: DataFrame) -> DataFrame:
 
 
 def log_ratios(docs: DataFrame, labelled: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """(gram to log-ratio, context to log-ratio of a letter seen by neither class after it). Bounded by MODEL_GRAMS."""
+    """(gram to log-ratio, context to log-ratio of a letter seen by neither class after it). Bounded by the rows that teach."""
     counts = cut_lineage(class_counts(labelled).withColumn("context", F.expr("substring(gram, 1, length(gram) - 1)")))
     contexts = counts.groupBy("context").agg(
         *[F.sum(c).alias(f"{c}_all") for c in ("toxic", "ordinary")], *[F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in ("toxic", "ordinary")])
