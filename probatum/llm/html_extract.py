@@ -8,7 +8,8 @@ The weights are log-odds, learnt from labelled pages by counting tokens inside a
 is its own label where it marks its content with exactly one ``article`` or ``main`` element. About ``TRAIN_PAGES``
 pages, drawn by hash, are counted, and Spark sums the counts; the table of places and tags is as small as HTML's
 vocabulary. A fixed prior stands behind the counts, so pages without marks, or with places never counted, are still
-cut sensibly.
+cut sensibly. When a page is cut, its mark is evidence and no limit: words outside lose up to ``MARK`` each, and together no
+more than the words inside score, so the scan over the whole page decides and a lone teaser does not displace the text.
 
 What is never text: scripts, styles, forms, menus and other elements whose names say so, and elements whose class, id
 or role names an advert, notice, comment section or the like, inside the run too.
@@ -63,6 +64,7 @@ _WHITE = re.compile(r"\s+")
 TRAIN_PAGES = 20_000
 PRIOR = 20.0  # tokens that a prior weight counts for
 WORD_CAP, TAG_CAP = 2.0, 3.0
+MARK = 2.5  # what a word outside of the page's one content mark loses at most
 
 
 def _bad_names(attributes: str) -> bool:
@@ -130,7 +132,7 @@ def tokens(page: str) -> tuple[list[Token], list[tuple[int, int]]]:
                 continue
             inside = mark_depth > 0
             own = name in BOILER or (name == "header" and not inside) or _bad_names(attributes) or bool(_HIDDEN.search(attributes))
-            if name in ("html", "body", "article", "main"):
+            if name in ("html", "body", "main"):
                 own = False
             if not bad:
                 out.append(Token("<boilerplate" if own else f"<{name}", block=block))
@@ -235,10 +237,14 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         return ""
     found, marks = tokens(page)
     scores = np.array([(weights[t.kind] if t.kind in weights else _prior(t.kind)) * (t.words if ":" in t.kind else 1) for t in found])
-    if len(marks) == 1:  # a page that marks its content is its own label: what is outside cannot be content
-        outside = np.ones(len(found), bool)
-        outside[marks[0][0] : marks[0][1]] = False
-        scores[outside] = np.minimum(scores[outside], 0.0) - 1e6
+    if len(marks) == 1:  # evidence that grows with what the mark holds: all words outside lose no more than that together
+        words = np.array([t.words if ":" in t.kind else 0 for t in found])
+        inside = np.zeros(len(found), bool)
+        inside[marks[0][0] : marks[0][1]] = True
+        outside = words[~inside].sum()
+        if outside:
+            held = np.maximum(scores[inside & (words > 0)], 0.0).sum()
+            scores[~inside] -= words[~inside] * min(MARK, held / outside)
     start, end = best_run(scores)
     # words before the run's first and behind its last word of the same block belong to it
     blocks: dict[int, list[str]] = {}
