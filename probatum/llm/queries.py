@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probatum.llm import bpe, chat, html_extract, itq, linededup, mixing, ngramjoin, quality, topk, toxicity
+from probatum.llm import bpe, chat, divergence, html_extract, itq, linededup, mixing, negatives, ngramjoin, periodic, quality, topk, toxicity
 from probatum.llm.common import crc32_mod, table
+from probatum.operators.grouping import once
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -171,3 +172,131 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), F.col("n_removed").cast("bigint").alias("n_removed"),
         F.length("deduped").cast("bigint").alias("kept_chars"), F.sha2(F.col("deduped").cast("binary"), 256).alias("kept_sha256"), "kept_in")
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; of every document whose crc32(doc_id) ends in 0 the words from one place on repeat a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    told = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    told = once(told, g=F.floor(h / 10), w=F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")))
+    n = F.size("w")
+    told = once(told, a=F.when(n > 0, F.col("g") % n))
+    told = once(told, p=1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    words = F.transform("w", lambda x, i: F.when(i >= F.col("a"), F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))).otherwise(x))
+    return told.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query()
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.repeated_runs(with_planted_runs(table(spark, sf_dir, "documents")), keep=["doc_id"])
+    found = once(found, top=periodic.longest_run(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("top.start").alias("start"), F.col("top.length").alias("length"), F.col("top.period").alias("period"),
+        F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform(lines, lambda x: F.concat(x, F.lit("\n")))).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query("""
+WITH v AS (
+  SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.row AS anchor, a.vec_id AS anchor_id, c.row, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM v a, v c WHERE a.vec_id % 100 = 0 AND a.row <> c.row AND len(a.v) = len(c.v)
+), p AS (
+  SELECT anchor, anchor_id, vec_id AS positive_id, row AS positive, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, row) <= 5
+), n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor, p.positive ORDER BY s.score DESC, s.vec_id, s.row)::INTEGER AS rank
+  FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+""")
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"), "embedding")
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+@query(r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, lang, coalesce(text, '') AS text FROM documents
+), b AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+    list_filter(string_split(regexp_replace(lower(text), '[\x20\x09-\x0D.,;:!?"()]+', ' ', 'g'), ' '), lambda x: x <> '') AS plain,
+    regexp_replace(text, '[a-z]+', '', 'g') AS rest
+  FROM d
+), g AS (
+  SELECT row, unnest(generate_series(0, len(w) - 3)) AS i, w FROM b WHERE len(w) >= 3
+), h AS (
+  SELECT row, i, count(*) OVER (PARTITION BY row, w[i + 1], w[i + 2], w[i + 3]) AS seen FROM g
+), c AS (
+  SELECT row, sum(least(3, coalesce(ahead - i, 3)))::BIGINT AS n_repeat_words
+  FROM (SELECT row, i, lead(i) OVER (PARTITION BY row ORDER BY i) AS ahead FROM h WHERE seen > 1) GROUP BY row
+), base AS (
+  SELECT b.*, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    length(text) AS n
+  FROM b LEFT JOIN c USING (row)
+), k AS (
+  SELECT *, [n - length(rest), length(rest) - length(regexp_replace(rest, '[A-Z]+', '', 'g')), length(rest) - length(regexp_replace(rest, '[0-9]+', '', 'g')),
+    length(rest) - length(regexp_replace(rest, '[\x20\x09]+', '', 'g')), length(rest) - length(regexp_replace(rest, '[\x0A-\x0D]+', '', 'g')),
+    length(rest) - length(regexp_replace(rest, '[.,;:]+', '', 'g')), length(rest) - length(regexp_replace(rest, '[!?]+', '', 'g')),
+    length(rest) - length(regexp_replace(rest, '[#*$%&|<>]+', '', 'g')), length(rest) - length(regexp_replace(rest, '[\x80-\x{10FFFF}]+', '', 'g'))] AS counts
+  FROM base
+), c2 AS (
+  SELECT *, list_append(counts, n - list_sum(counts)) AS classes FROM k
+), words AS (
+  SELECT lang, unnest(plain) AS word FROM c2
+), wc AS (
+  SELECT lang, word, count(*) AS c FROM words GROUP BY GROUPING SETS ((lang, word), (word))
+), total AS (
+  SELECT lang, grouping(lang) = 1 AS whole, count(*) AS words FROM words GROUP BY GROUPING SETS ((lang), ())
+), langs AS (
+  SELECT t.lang, t.words FROM total t WHERE NOT whole AND lang IS NOT NULL AND words >= 2000 AND 1000 * words >= (SELECT words FROM total WHERE whole)
+), own AS (
+  SELECT c2.*, langs.lang AS ref FROM c2 LEFT JOIN langs USING (lang)
+), cw AS (
+  SELECT langs.lang AS ref, word, count(*) / any_value(langs.words) AS share FROM words JOIN langs USING (lang) GROUP BY langs.lang, word HAVING 500 * count(*) >= any_value(langs.words)
+  UNION ALL SELECT NULL, word, count(*) / any_value(t.words) FROM words, (SELECT words FROM total WHERE whole) t GROUP BY word HAVING 500 * count(*) >= any_value(t.words)
+), bins AS (
+  SELECT ref, word, CASE WHEN share >= 0.01 THEN word ELSE '~~band' END AS bin, share FROM cw
+), q0 AS (
+  SELECT ref, bin, sum(share) AS q FROM bins GROUP BY ref, bin
+), q AS (
+  SELECT * FROM q0 UNION ALL SELECT refs.ref, '~~other', 1 - coalesce((SELECT sum(q) FROM q0 WHERE q0.ref IS NOT DISTINCT FROM refs.ref), 0) FROM (SELECT lang AS ref FROM langs UNION ALL SELECT NULL) refs
+), dw AS (
+  SELECT row, ref, unnest(plain) AS word, len(plain) AS m FROM own
+), p AS (
+  SELECT row, dw.ref, coalesce(bin, '~~other') AS bin, count(*) / any_value(m) AS p FROM dw LEFT JOIN bins ON dw.ref IS NOT DISTINCT FROM bins.ref AND dw.word = bins.word GROUP BY row, dw.ref, coalesce(bin, '~~other')
+), jw AS (
+  SELECT row, sqrt(greatest(0, (sum(p * ln(2 * p / (p + q)) + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) + ln(2) * (1 - sum(q))) / 2 / ln(2))) AS js_words
+  FROM p JOIN q ON p.ref IS NOT DISTINCT FROM q.ref AND p.bin = q.bin GROUP BY row
+), cls AS (
+  SELECT row, ref, unnest(classes) AS c, unnest(generate_series(1, 10)) AS class, n FROM own
+), rc AS (
+  SELECT lang AS ref, class, sum(c) AS c FROM (SELECT own.lang, unnest(classes) AS c, unnest(generate_series(1, 10)) AS class FROM own) WHERE lang IN (SELECT lang FROM langs) GROUP BY lang, class
+  UNION ALL SELECT NULL, class, sum(c) FROM cls GROUP BY class
+), qc AS (
+  SELECT ref, class, c / sum(c) OVER (PARTITION BY ref) AS q FROM rc
+), jc AS (
+  SELECT row, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) / 2 / ln(2))) AS js_chars
+  FROM (SELECT row, class, c / n AS p, q FROM cls JOIN qc USING (class) WHERE cls.ref IS NOT DISTINCT FROM qc.ref AND n > 0) GROUP BY row
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(n >= 200 AND js_chars > 0.2 + 1.5 / sqrt(n), false)
+    AND NOT coalesce(len(plain) >= 50 AND js_words > 0.18 + 1 / sqrt(len(plain)), false) AS kept
+FROM own LEFT JOIN jw USING (row) LEFT JOIN jc USING (row)
+""")
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judged(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("char_distance", "word_distance")
