@@ -232,7 +232,6 @@ WITH d AS (
 ), b AS (
   SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
-    list_filter(string_split(regexp_replace(lower(text), '[\x20\x09-\x0D.,;:!?"()]+', ' ', 'g'), ' '), lambda x: x <> '') AS plain,
     regexp_replace(text, '[a-z]+', '', 'g') AS rest
   FROM d
 ), g AS (
@@ -257,7 +256,7 @@ WITH d AS (
 ), c2 AS (
   SELECT *, list_append(counts, n - list_sum(counts)) AS classes FROM k
 ), words AS (
-  SELECT lang, unnest(plain) AS word FROM c2
+  SELECT lang, unnest(w) AS word FROM c2
 ), wc AS (
   SELECT lang, word, count(*) AS c FROM words GROUP BY GROUPING SETS ((lang, word), (word))
 ), total AS (
@@ -276,7 +275,7 @@ WITH d AS (
 ), q AS (
   SELECT * FROM q0 UNION ALL SELECT refs.ref, '~~other', 1 - coalesce((SELECT sum(q) FROM q0 WHERE q0.ref IS NOT DISTINCT FROM refs.ref), 0) FROM (SELECT lang AS ref FROM langs UNION ALL SELECT NULL) refs
 ), dw AS (
-  SELECT row, ref, unnest(plain) AS word, len(plain) AS m FROM own
+  SELECT row, ref, unnest(w) AS word, len(w) AS m FROM own
 ), p AS (
   SELECT row, dw.ref, coalesce(bin, '~~other') AS bin, count(*) / any_value(m) AS p FROM dw LEFT JOIN bins ON dw.ref IS NOT DISTINCT FROM bins.ref AND dw.word = bins.word GROUP BY row, dw.ref, coalesce(bin, '~~other')
 ), jw AS (
@@ -295,7 +294,7 @@ WITH d AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(n >= 200 AND js_chars > 0.2 + 1.5 / sqrt(n), false)
-    AND NOT coalesce(len(plain) >= 50 AND js_words > 0.18 + 1 / sqrt(len(plain)), false) AS kept
+    AND NOT coalesce(n_words >= 50 AND js_words > 0.18 + 1 / sqrt(n_words), false) AS kept
 FROM own LEFT JOIN jw USING (row) LEFT JOIN jc USING (row)
 """)
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
