@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from probatum.session import cut_lineage
 
@@ -20,6 +21,8 @@ def once(df: DataFrame, **named: Column) -> DataFrame:
 
 
 HOT_ROWS = 10_000_000
+CUT_ROWS = 100_000
+PREFIX = 3  # hex digits that a counting pass adds
 
 
 def hash_digits(df: DataFrame) -> int:
@@ -95,6 +98,79 @@ def hash_rank(
     )
 
 
+def rank_cuts(
+    rows: DataFrame, within: Sequence[str], hash_col: str, ranks: Callable[[Column], Column], digits: int | None = None
+) -> DataFrame:
+    """(within, cuts): the hashes that stand at the wanted zero-based ranks of each ``within`` group, in hash order.
+
+    ``ranks`` makes an ascending array of ranks from a group's row count; ranks beyond the group give no cut. Rows are
+    not sorted: rows are counted per hash prefix, prefix sums tell the prefix that holds each rank, and only parts that hold
+    one are counted again, ``PREFIX`` digits deeper, until they have at most ``CUT_ROWS`` rows. Those alone are ranked. What
+    reaches the driver and is broadcast has one entry per group and rank, whatever the rows; NULL keys are a group. ``digits``
+    (of the first pass) changes the work, never the cuts.
+    """
+    spark = rows.sparkSession
+    packed = rows.select(F.struct(F.lit(0).alias("__all"), *within).alias("__w"), F.col(hash_col).alias("__h"))
+    group = packed.schema["__w"].dataType
+
+    def part(n: int) -> Column:
+        return F.substring("__h", 1, n)
+
+    def inside(hits: list, n: int) -> DataFrame:
+        """The rows of the parts that hold a rank, with the ranks wanted there as (j, rank in the part)."""
+        wanted: dict = {}
+        for h in hits:
+            wanted.setdefault((h["__w"], h["__p"]), []).append((h["__j"], h["__left"]))
+        kind = T.StructType([T.StructField("__v", group), T.StructField("__q", T.StringType()),
+                             T.StructField("__wanted", T.ArrayType(T.StructType([T.StructField("__j", T.IntegerType()), T.StructField("__left", T.LongType())])))])
+        few = spark.createDataFrame([(*k, v) for k, v in wanted.items()], kind)
+        return packed.join(F.broadcast(few), (F.col("__w") == F.col("__v")) & (part(n) == F.col("__q"))).drop("__v")
+
+    def holding(counts: DataFrame, on: list[str], wanted: Column) -> list:
+        """The parts that hold a rank, each with the ranks in it. One sort of at most 16**PREFIX counts per group."""
+        before = Window.partitionBy(*on).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+        ahead = F.coalesce(F.sum("__n").over(before), F.lit(0))
+        placed = counts.withColumns({"__ahead": ahead, "__size": F.sum("__n").over(Window.partitionBy(*on))})
+        left = F.transform(wanted, lambda r: F.struct(r["__j"].alias("__j"), (r["__left"] - F.col("__ahead")).alias("__left")))
+        here = F.filter(left, lambda r: (r["__left"] >= 0) & (r["__left"] < F.col("__n")))
+        return placed.select("__w", "__p", "__n", F.inline(here)).collect()
+
+    n = digits or PREFIX
+    counts = packed.groupBy("__w", part(n).alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    first = F.transform(ranks(F.col("__size")), lambda r, j: F.struct(j.alias("__j"), r.cast("bigint").alias("__left")))
+    hits = holding(counts, ["__w"], first)
+    while n < 32 and max((h["__n"] for h in hits), default=0) > CUT_ROWS:
+        deeper = min(32, n + PREFIX)
+        counts = inside(hits, n).groupBy("__w", "__q", part(deeper).alias("__p")).agg(F.count(F.lit(1)).alias("__n"), F.first("__wanted").alias("__wanted"))
+        hits = holding(counts, ["__w", "__q"], F.col("__wanted"))
+        n = deeper
+    at = F.row_number().over(Window.partitionBy("__w", "__q").orderBy("__h")) - 1
+    ranked = inside(hits, n).withColumn("__at", at) if hits else None
+    found = ranked.select("__w", "__h", F.inline(F.filter("__wanted", lambda r: r["__left"] == F.col("__at")))).collect() if hits else []
+    cuts: dict = {}
+    for f in sorted(found, key=lambda f: f["__j"]):
+        cuts.setdefault(f["__w"], []).append(f["__h"])
+    kind = T.StructType([*[T.StructField(c, group[c].dataType) for c in within], T.StructField("cuts", T.ArrayType(T.StringType()))])
+    return spark.createDataFrame([(*[w[c] for c in within], v) for w, v in cuts.items()], kind)
+
+
+def between_cuts(rows: DataFrame, within: Sequence[str], hash_col: str, cuts: DataFrame, out: str) -> DataFrame:
+    """Each row's number of cuts at or below its hash; ``cuts`` of :func:`rank_cuts`, one record per group, is broadcast."""
+    mine = cuts.select(*[F.col(c).alias(f"__{c}") for c in within], F.col("cuts").alias("__cuts"))
+    cond = F.lit(True)
+    for c in within:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    slot = F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<string>")), lambda x: x <= F.col(hash_col)))
+    return rows.join(F.broadcast(mine), cond, "left").withColumn(out, slot).drop("__cuts", *[f"__{c}" for c in within])
+
+
+def even_ranks(k: int) -> Callable[[Column], Column]:
+    """First ranks of the slots 1 to k - 1 when rank * k div n is a row's slot."""
+    if k < 2:
+        return lambda n: F.array().cast("array<bigint>")
+    return lambda n: F.transform(F.sequence(F.lit(1).cast("bigint"), F.lit(k - 1).cast("bigint")), lambda j: F.ceil(j * n / k))
+
+
 def hash_running_sum(
     df: DataFrame, within: Sequence[str], hash_col: str, tie: str, weight: str, out: str, digits: int | None = None
 ) -> DataFrame:

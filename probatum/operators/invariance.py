@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probatum.operators.grouping import hash_rank
+from probatum.operators.grouping import between_cuts, rank_cuts
 from probatum.operators.splits import _hash, _numbers
+from probatum.session import cut_lineage
 
 
 def zero_leak(df: DataFrame, label: str, table: Mapping[str, Sequence[float]]) -> DataFrame:
@@ -24,23 +26,32 @@ def zero_leak(df: DataFrame, label: str, table: Mapping[str, Sequence[float]]) -
 def permuted_labels(
     df: DataFrame, key: str, label: str, n_perm: int, seed: int = 0, digits: int | None = None, out: str = "y"
 ) -> DataFrame:
-    """(perm, key, y): ``n_perm`` row-wise label shuffles as a join.
+    """(perm, key, y): ``n_perm`` row-wise label shuffles, and no row meets another.
 
-    Rows get one fixed hash rank and, per permutation, a second one; a row takes the label of the row
-    whose second rank equals its first. Both ranks are distributed, so no task holds a permutation.
+    In the order of ``md5(seed:perm:key)`` the first rows take the smallest label, as many as have it, the next ones the
+    second, and so on. Any assignment with the same label counts is equally likely, as under a shuffle of the labels. The
+    hashes where the label changes are found by counting (see ``rank_cuts``), one per permutation and label.
     """
-    base = df.select(key, label)
-    slots = hash_rank(base.withColumn("__h", _hash(F.lit(f"{seed}:slot"), F.col(key))), [], "__h", key, "__r", digits)
-    donors = base.withColumn("perm", _numbers(n_perm))
-    donors = donors.withColumn("__h", _hash(F.lit(f"{seed}:perm"), F.col("perm"), F.col(key)))
-    donors = hash_rank(donors, ["perm"], "__h", key, "__r", digits).select("perm", "__r", F.col(label).alias(out))
-    return donors.join(slots.select(key, "__r"), "__r").select("perm", key, out)
+    df = cut_lineage(df.select(key, label))  # read four times
+    rows = df.select(key, _numbers(n_perm).alias("perm")).withColumn("__h", _hash(F.lit(f"{seed}:perm"), F.col("perm"), F.col(key)))
+    return _relabelled(rows, df, label, ["perm"], out, digits).select("perm", key, out)
+
+
+def _relabelled(rows: DataFrame, df: DataFrame, label: str, within: Sequence[str], out: str, digits: int | None) -> DataFrame:
+    """Rows with a label by their place in hash order; ``df`` holds the labels to hand out."""
+    # one row per label
+    counts = sorted(df.groupBy(label).count().collect(), key=lambda r: (r[0] is not None, r[0] or 0))
+    ends = list(accumulate(r[1] for r in counts))
+    kind = df.schema[label].dataType
+    cuts = rank_cuts(rows, within, "__h", lambda n: F.array(*[F.lit(e).cast("bigint") for e in ends[:-1]]), digits)
+    values = F.array(*[F.lit(r[0]).cast(kind) for r in counts]) if counts else F.array().cast(f"array<{kind.simpleString()}>")
+    return between_cuts(rows, within, "__h", cuts, "__slot").withColumn(out, F.get(values, F.col("__slot"))).drop("__slot")
 
 
 def shuffled_labels(df: DataFrame, key: str, label: str, seed: int = 0) -> DataFrame:
     """``df`` with its labels shuffled by key hash, guaranteed to differ when there are two labels."""
-    moved = permuted_labels(df, key, label, 1, seed, out="__y").select(key, "__y")
-    out = df.join(moved, key)
+    hashed = df.withColumn("__h", _hash(F.lit(f"{seed}:perm"), F.lit(0), F.col(key)))
+    out = _relabelled(hashed, df, label, [], "__y", None).drop("__h")
     same = F.count_if(~F.col(label).eqNullSafe(F.col("__y"))).alias("changed")
     r = out.agg(same, F.min_by(key, F.struct(label, key)).alias("a"), F.max_by(key, F.struct(label, key)).alias("b"),
                 F.min(label).alias("la"), F.max(label).alias("lb")).collect()[0]

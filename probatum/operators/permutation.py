@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probatum.operators import models, trees
-from probatum.operators.grouping import hash_rank
+from probatum.operators.grouping import between_cuts, even_ranks, rank_cuts
 from probatum.operators.invariance import permuted_labels, zero_leak
 from probatum.operators.metrics import class_metrics, confusion_counts
 from probatum.operators.splits import _hash
@@ -37,8 +37,8 @@ def permutation_rows(
     drawn = permuted_labels(df, key, label, n_perm, seed, digits)
     seen = df.select(F.lit(OBSERVED).alias("perm"), key, F.col(label).alias("y"))
     rows = drawn.unionByName(seen).withColumn("__h", _hash(F.lit(f"{seed}:cv"), F.col(key)))
-    ranked = hash_rank(rows, ["perm", "y"], "__h", key, "__r", digits)
-    return ranked.select("perm", (F.col("__r") % k).cast("int").alias("fold"), key, "y")
+    cuts = rank_cuts(rows, ["perm", "y"], "__h", even_ranks(k), digits)
+    return between_cuts(rows, ["perm", "y"], "__h", cuts, "fold").select("perm", "fold", key, "y")
 
 
 def tree_scores(rows: DataFrame, features: Sequence[str], labels: Sequence[int]) -> DataFrame:

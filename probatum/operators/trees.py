@@ -2,16 +2,25 @@
 
 A tree on a single feature depends on the data only through its (value, label) histogram. One combined
 aggregate over the rows therefore serves every (repeat, fold, inner fold, feature); growing and scoring
-then work on the histograms, with window functions over the values of one feature.
+then work on the histograms.
+
+No task owns a histogram. The values of a feature are cut into ordered parts by range; label counts below each
+value are the running counts inside its part plus the totals of the parts before. They are made once. A node of a tree is
+an interval of values, so its counts left of a cut are a difference of two of them: each level of all trees is one
+aggregate over the values that keeps the best cut of every node, with nothing to shuffle but one record per node and task.
+Trees have at most 2**depth leaves each and one tree per key combination, a number that follows from folds, repeats,
+permutations and features; that table alone reaches the driver and is broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from probatum.operators.grouping import once
 from probatum.operators.metrics import class_metrics
 from probatum.session import cut_lineage
 
@@ -25,13 +34,20 @@ def value_histogram(
     )
 
 
+def in_parts(hist: DataFrame) -> DataFrame:
+    """Add ``part``: values of a feature in ordered parts, so that no part holds more than its share of all rows."""
+    parts = int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the checkpoint fixes the sampled bounds of the parts
+    return cut_lineage(hist.repartitionByRange(parts, "feature", "value").withColumn("part", F.spark_partition_id()))
+
+
 def train_valid(hist: DataFrame, part: Sequence[str], fold: str, folds: DataFrame, labels: Sequence[int]) -> DataFrame:
     """(part, fold, feature, value, t_<label>, v_<label>): train counts are the part's total minus the fold's.
 
-    ``folds`` lists the (part, fold) combinations.
+    ``folds`` lists the (part, fold) combinations. ``hist`` also has ``part``, the ordered part of its value.
     """
     names = [f"n_{v}" for v in labels]
-    per_value = hist.groupBy(*part, "feature", "value").agg(
+    per_value = hist.groupBy(*part, "feature", "value", "part").agg(
         *[F.sum(n).alias(f"all_{n}") for n in names],
         F.map_from_entries(F.collect_list(F.struct(F.col(fold), F.struct(*names)))).alias("own"),  # <= k entries
     )
@@ -41,66 +57,104 @@ def train_valid(hist: DataFrame, part: Sequence[str], fold: str, folds: DataFram
     for v in labels:
         mine = F.coalesce(own[f"n_{v}"], F.lit(0))
         cols += [(F.col(f"all_n_{v}") - mine).alias(f"t_{v}"), mine.alias(f"v_{v}")]
-    return out.select(*part, fold, "feature", "value", *cols)
+    return out.select(*part, fold, "feature", "value", "part", *cols)
 
 
 def fill_with_mode(hist: DataFrame, keys: Sequence[str], labels: Sequence[int]) -> DataFrame:
-    """Move the missing cells of each histogram to its most frequent training value (smallest on ties)."""
+    """Move the missing cells of each histogram to its most frequent training value (smallest on ties).
+
+    A key has one row of missing cells at most, so modes and missing counts come to one record per key, broadcast.
+    """
+    names = [f"{s}_{v}" for s in ("t", "v") for v in labels]
     t = sum((F.col(f"t_{v}") for v in labels), F.lit(0))
-    w = Window.partitionBy(*keys)
     rank = F.when(F.col("value").isNotNull() & (t > 0), F.struct(t.alias("n"), (-F.col("value")).alias("v")))
-    filled = hist.repartition(*keys).withColumn("__mode", -F.max(rank).over(w)["v"])
-    return (
-        filled.withColumn("value", F.coalesce("value", "__mode"))
-        .groupBy(*keys, "value")
-        .agg(*[F.sum(f"{s}_{v}").alias(f"{s}_{v}") for s in ("t", "v") for v in labels])
-    )
+    per_key = hist.groupBy(*keys).agg(
+        (-F.max(rank)["v"]).alias("__mode"),
+        F.first(F.when(F.col("value").isNull(), F.struct(*names)), ignorenulls=True).alias("__gone"))
+    out = hist.join(F.broadcast(per_key.filter("__gone is not null")), list(keys), "left")
+    more = [F.when(F.col("value") == F.col("__mode"), F.col("__gone")[n]) for n in names]
+    # without a training value the missing cells stay a value of their own
+    return out.filter(F.col("value").isNotNull() | F.col("__mode").isNull()).select(
+        *keys, "value", "part", *[(F.col(n) + F.coalesce(m, F.lit(0))).alias(n) for n, m in zip(names, more, strict=True)])
+
+
+def counts_below(hist: DataFrame, keys: Sequence[str], part: str, ts: Sequence[str]) -> DataFrame:
+    """Add ``b_<t>``, the training counts at or below each training value of its key, and ``nxt``, its next training value.
+
+    ``part`` cuts the values into ordered parts; only rows of one (key, part) are sorted together, and offsets have one row
+    per key and part.
+    """
+    on = [*keys, part]
+    seen = (sum((F.col(t) for t in ts), F.lit(0)) > 0) & F.col("value").isNotNull()
+    rows = hist.withColumn("seen", seen)
+    inside = Window.partitionBy(*on, "seen").orderBy("value")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    totals = rows.filter("seen").groupBy(*on).agg(*[F.sum(t).alias(f"s_{t}") for t in ts], F.min("value").alias("__first"))
+    over = Window.partitionBy(*keys).orderBy(part)
+    before = over.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *on, *[F.coalesce(F.sum(f"s_{t}").over(before), F.lit(0)).alias(f"o_{t}") for t in ts], F.lead("__first").over(over).alias("__ahead"))
+    placed = rows.withColumns({**{f"i_{t}": F.sum(t).over(upto) for t in ts}, "__next": F.lead("value").over(inside)})
+    return placed.join(offsets, on, "left").select(
+        *[c for c in hist.columns if c != part], "seen", *[(F.col(f"i_{t}") + F.col(f"o_{t}")).alias(f"b_{t}") for t in ts],
+        F.coalesce("__next", "__ahead").alias("nxt"))
 
 
 def grow(hist: DataFrame, keys: Sequence[str], labels: Sequence[int], depth: int = 3) -> DataFrame:
     """Grow one Gini tree per ``keys`` group; every value row gets its leaf (node, lo) and prediction.
 
-    A node splits at the midpoint between neighbouring training values with the lowest weighted impurity,
-    the lowest threshold on ties; pure nodes and single values stay. All levels use the one partitioning
-    by ``keys``.
+    A node splits at the midpoint between neighbouring training values with the lowest weighted impurity, the lowest
+    threshold on ties; pure nodes and single values stay. ``hist`` has the ordered ``part`` of its values. The leaves of all
+    trees (at most 2**depth per key) are kept by the driver and sent to the next level.
     """
     ts = [f"t_{v}" for v in labels]
-    df = hist.repartition(*keys).withColumns({"node": F.lit(0), "lo": F.lit(float("-inf"))})
+    points = cut_lineage(counts_below(hist, keys, "part", ts))
+    totals = points.groupBy(*keys).agg(*[F.sum(t).alias(t) for t in ts]).collect()
+    trees = {tuple(r[c] for c in keys): [(0, float("-inf"), float("inf"), [0] * len(ts), [r[t] for t in ts])] for r in totals}
     for _ in range(depth):
-        cell = Window.partitionBy(*keys, "node")
-        upto = cell.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-        after = cell.orderBy("value").rowsBetween(1, Window.unboundedFollowing)
-        here = sum((F.col(t) for t in ts), F.lit(0))
-        seen = F.when(here > 0, F.col("value"))
-        df = df.withColumns({
-            **{f"l_{t}": F.sum(t).over(upto) for t in ts},
-            **{f"a_{t}": F.sum(t).over(cell) for t in ts},
-            "nxt": F.min(seen).over(after),
-        })
-        left = sum((F.col(f"l_{t}") for t in ts), F.lit(0))
-        total = sum((F.col(f"a_{t}") for t in ts), F.lit(0))
-        right_sq = sum(((F.col(f"a_{t}") - F.col(f"l_{t}")) * (F.col(f"a_{t}") - F.col(f"l_{t}")) for t in ts), F.lit(0))
-        left_sq = sum((F.col(f"l_{t}") * F.col(f"l_{t}") for t in ts), F.lit(0))
-        score = F.try_divide(left_sq.cast("double"), left) + F.try_divide(right_sq.cast("double"), total - left)
-        pure = F.greatest(*[F.col(f"a_{t}") for t in ts]) == total
-        cut = F.when(
-            (here > 0) & F.col("nxt").isNotNull() & ~pure,
-            F.struct(
-                score.alias("score"), (-F.col("value")).alias("v"), ((F.col("value") + F.col("nxt")) / 2).alias("thr")
-            ),
-        )
-        df = df.withColumn("cut", cut).withColumn("thr", F.max("cut").over(cell)["thr"])
-        goes_right = F.col("value") > F.col("thr")
-        df = df.withColumns({
-            "node": F.when(F.col("thr").isNull(), F.col("node")).otherwise(
-                F.col("node") * 2 + F.when(goes_right, 2).otherwise(1)
-            ),
-            "lo": F.when(goes_right, F.col("thr")).otherwise(F.col("lo")),
-        }).drop("nxt", "cut", "thr", *[f"{s}_{t}" for s in "la" for t in ts])
-    leaf = Window.partitionBy(*keys, "node")
-    sums = {t: F.sum(t).over(leaf) for t in ts}
-    best = F.greatest(*[F.struct(sums[t].alias("n"), F.lit(-v).alias("neg")) for t, v in zip(ts, labels)])
-    return df.withColumn("pred", (-best["neg"]).cast("int"))
+        at = _in_leaf(points.filter("seen and nxt is not null"), trees, keys)
+        left = [F.col(f"b_{t}") - F.get("leaf.below", F.lit(i)) for i, t in enumerate(ts)]
+        right = [F.get("leaf.upto", F.lit(i)) - F.col(f"b_{t}") for i, t in enumerate(ts)]
+        total = [x + y for x, y in zip(left, right, strict=True)]
+        n_left, n_right, n = (sum(x, F.lit(0)) for x in (left, right, total))
+        squares = [sum((c * c for c in side), F.lit(0)).cast("double") for side in (left, right)]
+        cut = F.struct(
+            (F.try_divide(squares[0], n_left) + F.try_divide(squares[1], n_right)).alias("score"), (-F.col("value")).alias("v"),
+            ((F.col("value") + F.col("nxt")) / 2).alias("thr"), F.array(*[F.col(f"b_{t}") for t in ts]).alias("mid"))
+        open_ = at.filter((n_right > 0) & (F.greatest(*total) != n))
+        best = open_.groupBy(*keys, F.col("leaf.node").alias("node")).agg(F.max(cut).alias("cut")).collect()
+        cuts = {(tuple(r[c] for c in keys), r["node"]): r["cut"] for r in best}
+        for key, leaves_ in trees.items():
+            trees[key] = [part for leaf in leaves_ for part in _split(leaf, cuts.get((key, leaf[0])))]
+    grown = _in_leaf(points, trees, keys, labels)
+    return grown.select(*[c for c in hist.columns if c != "part"], "leaf.node", "leaf.lo", "leaf.pred")
+
+
+Leaf = tuple[int, float, float, list, list]  # node, bounds (lo, hi], label counts at or below the bounds
+
+
+def _split(leaf: Leaf, cut: Row | None) -> list[Leaf]:
+    node, lo, hi, below, upto = leaf
+    if cut is None:
+        return [leaf]
+    return [(2 * node + 1, lo, cut["thr"], below, cut["mid"]), (2 * node + 2, cut["thr"], hi, cut["mid"], upto)]
+
+
+def _in_leaf(rows: DataFrame, trees: dict[tuple, list[Leaf]], keys: Sequence[str], labels: Sequence[int] = ()) -> DataFrame:
+    """Add to each row the struct ``leaf`` of its key that holds its value; a missing value meets the first.
+
+    With ``labels`` a leaf tells its prediction: the most frequent label, the lowest on ties.
+    """
+    def pred(leaf: Leaf) -> int | None:
+        counts = [u - b for b, u in zip(leaf[3], leaf[4], strict=True)]
+        return labels[counts.index(max(counts))] if labels else None
+
+    tree = T.StructType.fromDDL("__tree array<struct<node:int,lo:double,hi:double,below:array<bigint>,upto:array<bigint>,pred:int>>")
+    kind = T.StructType([*[rows.schema[c] for c in keys], *tree.fields])
+    table = [(*key, [(*leaf, pred(leaf)) for leaf in leaves_]) for key, leaves_ in trees.items()]
+    joined = rows.join(F.broadcast(rows.sparkSession.createDataFrame(table, kind)), list(keys))
+    holds = F.filter("__tree", lambda x: (F.col("value") <= x["hi"]) & ((F.col("value") > x["lo"]) | (x["lo"] == float("-inf"))))
+    return once(joined, leaf=F.coalesce(F.get(holds, F.lit(0)), F.get("__tree", F.lit(0)))).drop("__tree")
 
 
 def leaves(grown: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -135,10 +189,10 @@ def single_feature_scores(
     ``rows`` has one row per (part, key) with its validation fold, the label and the features.
     """
     keys = [*part, fold, "feature"]
-    hist = value_histogram(rows, [*part, fold], features, label, labels)
+    # read by folds, counts and modes alike; small beside the rows it was counted from
+    hist = in_parts(value_histogram(rows, [*part, fold], features, label, labels))
     tv = train_valid(hist, part, fold, fold_list(hist, [*part, fold]), labels)
-    # read by scores, models and modes alike; small beside the rows it was counted from
-    grown = cut_lineage(grow(fill_with_mode(tv, keys, labels), keys, labels, depth))
+    grown = grow(fill_with_mode(tv, keys, labels), keys, labels, depth)
     return grown, class_metrics(side_counts(grown, keys, labels), keys, labels)
 
 

@@ -449,18 +449,15 @@ def _(spark, sf):
     return S.class_counts(I.order_features(spark, sf), "size_label", [0, 1, 2, 3])
 
 
-_PERM = f"""WITH f AS ({O.FEATURES}),
-s AS (SELECT row_id, row_number() OVER (ORDER BY md5('0:slot:' || row_id), row_id) AS r FROM f),
-d AS (SELECT perm, size_label AS y, row_number() OVER (PARTITION BY perm ORDER BY md5('0:perm:' || perm || ':' ||
-row_id), row_id) AS r FROM f, (SELECT CAST(unnest(range(3)) AS INTEGER) AS perm) p)"""
+_PERM = f"WITH f AS ({O.FEATURES}), {O.permuted(100)}"
 
 
-@query("permuted_labels", f"{_PERM} SELECT perm, row_id, y FROM d JOIN s USING (r)")
+@query("permuted_labels", f"{_PERM} SELECT perm, row_id, y FROM p")
 def _(spark, sf):
-    return V.permuted_labels(I.order_features(spark, sf).persist(), KEY, "size_label", 3)
+    return V.permuted_labels(I.order_features(spark, sf).select(KEY, "size_label").persist(), KEY, "size_label", 100)
 
 
-@query("shuffled_labels", f"{_PERM} SELECT row_id, y AS size_label FROM d JOIN s USING (r) WHERE perm = 0")
+@query("shuffled_labels", f"{_PERM} SELECT row_id, y AS size_label FROM p WHERE perm = 0")
 def _(spark, sf):
     return V.shuffled_labels(I.order_features(spark, sf).select(KEY, "size_label").persist(), KEY, "size_label")
 
@@ -657,29 +654,37 @@ _CAND = (f"{_INNER_HIST}, sc AS ({O.metrics(O.grown_counts(['repeat', 'fold', 'i
          "SELECT repeat, fold, feature, avg(macro_f1) AS inner_macro_f1 FROM sc GROUP BY repeat, fold, feature")
 
 
-def _outer_rows(spark, sf) -> tuple[DataFrame, DataFrame]:
+def _tree_folds(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The tree features by key, and the outer folds."""
     f = I.order_features(spark, sf).select(KEY, "size_label", *_TF).persist()
-    folds = S.stratified_folds(f, KEY, "size_label", K, REPEATS).persist()
-    feats = f.drop("size_label")
-    inner = S.inner_folds(folds, KEY, "size_label", K, 3)
-    return folds.join(feats, KEY).persist(), inner.join(feats, KEY)
+    return f.drop("size_label"), S.stratified_folds(f, KEY, "size_label", K, REPEATS).persist()
+
+
+def _outer_rows(spark, sf) -> DataFrame:
+    feats, folds = _tree_folds(spark, sf)
+    return folds.join(feats, KEY).persist()
+
+
+def _inner_rows(spark, sf) -> DataFrame:
+    feats, folds = _tree_folds(spark, sf)
+    return S.inner_folds(folds, KEY, "size_label", K, 3).join(feats, KEY)
 
 
 @query("single_feature_scores", f"""{_OUTER_HIST}, sc AS ({O.metrics(O.grown_counts(['repeat', 'fold', 'feature']), ['repeat', 'fold', 'feature'])})
 SELECT feature, round(avg(macro_f1), 6) AS macro_f1 FROM sc GROUP BY feature""")
 def single_feature_scores(spark, sf):
-    return _r(T.exploratory_scores(_outer_rows(spark, sf)[0], _TF, "size_label", LABELS))
+    return _r(T.exploratory_scores(_outer_rows(spark, sf), _TF, "size_label", LABELS))
 
 
 @query("inner_candidates", f"SELECT repeat, fold, feature, round(inner_macro_f1, 6) AS inner_macro_f1 FROM ({_CAND}) c")
 def _(spark, sf):
-    return _r(T.inner_candidates(_outer_rows(spark, sf)[1], _TF, "size_label", LABELS))
+    return _r(T.inner_candidates(_inner_rows(spark, sf), _TF, "size_label", LABELS))
 
 
 @query("nested_single_picks", f"""SELECT repeat, fold, first(feature ORDER BY round(inner_macro_f1, 12) DESC, feature) AS feature
 FROM ({_CAND}) c GROUP BY repeat, fold""")
 def _(spark, sf):
-    c = T.inner_candidates(_outer_rows(spark, sf)[1], _TF, "size_label", LABELS)
+    c = T.inner_candidates(_inner_rows(spark, sf), _TF, "size_label", LABELS)
     return T.best_feature(c, ["repeat", "fold"], "inner_macro_f1")
 
 
@@ -691,8 +696,9 @@ SELECT 'nested_single' AS model, x.repeat, x.fold, row_id, y, CAST(g.pred AS INT
 JOIN md USING (repeat, fold, feature) JOIN grown g ON g.repeat = x.repeat AND g.fold = x.fold AND g.feature = x.feature
 AND g.value = coalesce(x.value, md.md)""")
 def nested_single_predictions(spark, sf):
-    rows, inner_rows = _outer_rows(spark, sf)
-    return T.nested_single(rows, inner_rows, KEY, _TF, "size_label", LABELS)[0]
+    feats, folds = _tree_folds(spark, sf)
+    inner = S.inner_folds(folds, KEY, "size_label", K, 3)
+    return T.nested_single(folds.join(feats, KEY).persist(), inner.join(feats, KEY), KEY, _TF, "size_label", LABELS)[0]
 
 
 @query("priority_picks", f"""WITH c AS ({_CAND}), s AS (SELECT *, CASE feature WHEN 'disc' THEN 0 WHEN 'n_lines' THEN 1 ELSE 2 END
@@ -700,12 +706,39 @@ AS priority FROM c) SELECT repeat, fold, first(feature ORDER BY round(inner_macr
 CAST(first(priority ORDER BY round(inner_macro_f1, 2) DESC, priority) AS INTEGER) AS priority FROM s GROUP BY repeat, fold""")
 def _(spark, sf):
     """Selection by score, then list position; scores to two places so that ties occur."""
-    c = T.inner_candidates(_outer_rows(spark, sf)[1], _TF, "size_label", LABELS)
+    c = T.inner_candidates(_inner_rows(spark, sf), _TF, "size_label", LABELS)
     at: Column = F.when(F.col("feature") == "disc", 0).when(F.col("feature") == "n_lines", 1).otherwise(2)
     picked = T.best_priority(c.withColumn("priority", at), ["repeat", "fold"], "inner_macro_f1", "priority", 2)
     return picked.select("repeat", "fold", "feature", "priority")
 
 
+_WIDE = ["l_extendedprice", "l_partkey"]
+_WIDE_ROWS = f"""SELECT 0 AS repeat, CAST((l_orderkey + l_linenumber) % 3 AS INTEGER) AS fold,
+  CASE WHEN l_quantity < 17 THEN 0 WHEN l_quantity < 34 THEN 1 ELSE 2 END AS y, l_extendedprice,
+  CAST(CASE WHEN l_partkey % 11 > 0 THEN l_partkey END AS DOUBLE) AS l_partkey FROM lineitem"""
+_WIDE_TREES = O.histogram(_WIDE_ROWS, ["repeat"], "fold", _WIDE, "y", "WITH") + ", " + O.tree(["repeat", "fold", "feature"])
+
+
+def wide_trees(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Depth-3 trees on columns with about as many values as rows; every eleventh part key is missing."""
+    part = F.when(F.col("l_partkey") % 11 > 0, F.col("l_partkey")).cast("double")
+    rows = I.read(spark, sf, "lineitem").select(
+        F.lit(0).alias("repeat"), ((F.col("l_orderkey") + F.col("l_linenumber")) % 3).cast("int").alias("fold"),
+        F.when(F.col("l_quantity") < 17, 0).when(F.col("l_quantity") < 34, 1).otherwise(2).alias("y"), "l_extendedprice", part.alias("l_partkey"))
+    return T.single_feature_scores(rows, ["repeat"], "fold", _WIDE, "y", LABELS)
+
+
+@query("wide_feature_scores", f"{_WIDE_TREES} {O.metrics(O.grown_counts(['fold', 'feature']), ['fold', 'feature'])}")
+def wide_feature_scores(spark, sf):
+    return _r(wide_trees(spark, sf)[1].drop("repeat"), 9).drop("confusion_matrix")
+
+
+@query("wide_feature_leaves", f"{_WIDE_TREES} SELECT DISTINCT fold, feature, node, round(lo, 6) AS lo, pred FROM grown")
+def _(spark, sf):
+    grown = wide_trees(spark, sf)[0]
+    return _r(grown.select("fold", "feature", "node", "lo", "pred").distinct())
+
+
 # leaks and permutations ---------------------------------------------------------------------------
 
 def _leak_sql(y: str, c: str) -> str:
@@ -721,7 +754,7 @@ def _(spark, sf):
 
 
 @query("label_invariance_violations", f"""{_PERM}, b AS (SELECT row_id, {_leak_sql('size_label', 'tax')}, {_leak_sql('size_label', 'disc')}
-FROM f), g AS (SELECT f.row_id, d.y, f.tax, f.disc FROM f JOIN s USING (row_id) JOIN d ON d.r = s.r AND d.perm = 0),
+FROM f), g AS (SELECT f.row_id, p.y, f.tax, f.disc FROM f JOIN p USING (row_id) WHERE perm = 0),
 e AS (SELECT row_id, {_leak_sql('y', 'tax')}, {_leak_sql('y', 'disc')} FROM g)
 SELECT b.row_id FROM b JOIN e USING (row_id) WHERE b.tax IS DISTINCT FROM e.tax OR b.disc IS DISTINCT FROM e.disc""")
 def _(spark, sf):
@@ -741,11 +774,9 @@ def perm_scores(spark, sf, n_perm: int = 4) -> DataFrame:
 def _perm_sql(n_perm: int) -> str:
     """Both score series: permuted labels, their folds, trees on clean and on leaky columns."""
     prows = f"""WITH f AS ({O.FEATURES}),
-s AS (SELECT row_id, row_number() OVER (ORDER BY md5('0:slot:' || row_id), row_id) AS r FROM f),
-d AS (SELECT perm, size_label AS y, row_number() OVER (PARTITION BY perm ORDER BY md5('0:perm:' || perm || ':' ||
-row_id), row_id) AS r FROM f, (SELECT CAST(unnest(range({n_perm})) AS INTEGER) AS perm) p),
-z AS (SELECT perm, row_id, y FROM d JOIN s USING (r) UNION ALL SELECT -1, row_id, size_label FROM f)
-SELECT perm, (row_number() OVER (PARTITION BY perm, y ORDER BY md5('0:cv:' || row_id), row_id) - 1) % 5 AS fold, y, """
+{O.permuted(n_perm)},
+z AS (SELECT perm, row_id, y FROM p UNION ALL SELECT -1, row_id, size_label FROM f)
+SELECT perm, {O.slots('perm, y', "'0:cv:' || row_id", 5)} AS fold, y, """
     keys = ["perm", "fold", "feature"]
 
     def series(cols: str) -> str:

@@ -73,19 +73,32 @@ def label_reason(v: str, label: str) -> str:
             f"AS VARCHAR)) END")
 
 
+def slots(within: str, hashed: str, k: int) -> str:
+    """Place in hash order times k, divided by the size of the group, as a fold number."""
+    return (f"CAST(((row_number() OVER (PARTITION BY {within} ORDER BY md5({hashed}), row_id) - 1) * {k}) // "
+            f"count(*) OVER (PARTITION BY {within}) AS INTEGER)")
+
+
 def folds(src: str, label: str, k: int = 5, repeats: int = 2, seed: int = 0) -> str:
-    return (f"SELECT repeat, CAST((row_number() OVER (PARTITION BY repeat, {label} ORDER BY "
-            f"md5('{seed}:' || repeat || ':' || row_id), row_id) - 1) % {k} AS INTEGER) AS fold, row_id, {label} "
+    fold = slots(f"repeat, {label}", f"'{seed}:' || repeat || ':' || row_id", k)
+    return (f"SELECT repeat, {fold} AS fold, row_id, {label} "
             f"FROM ({src}) s, (SELECT CAST(unnest(range({repeats})) AS INTEGER) AS repeat) r")
 
 
 def inner(folds_sql: str, label: str, k: int = 5, inner_k: int = 3, seed: int = 0) -> str:
-    return (f"SELECT repeat, o.fold, CAST((row_number() OVER (PARTITION BY repeat, o.fold, {label} ORDER BY "
-            f"md5('{seed}:inner:' || repeat || ':' || o.fold || ':' || row_id), row_id) - 1) % {inner_k} AS INTEGER) "
-            f"AS inner_fold, row_id, {label} FROM ({folds_sql}) f, "
+    fold = slots(f"repeat, o.fold, {label}", f"'{seed}:inner:' || repeat || ':' || o.fold || ':' || row_id", inner_k)
+    return (f"SELECT repeat, o.fold, {fold} AS inner_fold, row_id, {label} FROM ({folds_sql}) f, "
             f"(SELECT CAST(unnest(range({k})) AS INTEGER) AS fold) o WHERE o.fold <> f.fold")
 
 
+def permuted(n_perm: int, label: str = "size_label", seed: int = 0) -> str:
+    """CTE text (after ``f``): ``p`` has every row's label in each permutation, the labels in order along the hashes."""
+    return f"""l AS (SELECT y, n, sum(n) OVER (ORDER BY y) AS upto FROM (SELECT {label} AS y, count(*) AS n FROM f GROUP BY {label}) c),
+d AS (SELECT perm, row_id, row_number() OVER (PARTITION BY perm ORDER BY md5('{seed}:perm:' || perm || ':' || row_id), row_id) AS r
+FROM f, (SELECT CAST(unnest(range({n_perm})) AS INTEGER) AS perm) g),
+p AS (SELECT perm, row_id, l.y FROM d JOIN l ON r > upto - n AND r <= upto)"""
+
+
 def metrics(counts: str, keys: Sequence[str], labels: Sequence[int] = LABELS, matrix: bool = False) -> str:
     """class_metrics over a (keys, y, pred, n) query; rounding to 9 places, the matrix as text on demand."""
     k = ", ".join(keys)

@@ -14,6 +14,8 @@ def local_session(cpus: str | int = "*", app: str = "probatum", shuffle_partitio
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # small tables are multiplied later on (folds, permutations), so they stay spread over the cores
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
