@@ -75,29 +75,6 @@ def attach_group(
     return out.drop(*mine.values(), "__salt", "__gsalt")
 
 
-def hash_rank(
-    df: DataFrame, within: Sequence[str], hash_col: str, tie: str, out: str, digits: int | None = None
-) -> DataFrame:
-    """Zero-based rank by a hex hash inside each ``within`` group, without a task owning a whole group.
-
-    The leading ``digits`` hex digits cut each group into equal parts; a part's offset is the prefix sum
-    of the part counts before it, and only rows of one part are ever sorted together. By default the parts
-    grow with the session's shuffle partitions. The rank itself does not depend on them.
-    """
-    keys = [*within, "__part"]
-    df = df.withColumn("__part", F.substring(hash_col, 1, digits or hash_digits(df)))
-    ahead = Window.partitionBy(*within).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.select(*keys, F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__ahead"))
-    pos = F.row_number().over(Window.partitionBy(*keys).orderBy(hash_col, tie)) - 1
-    ranked = df.withColumn("__pos", pos)
-    return (
-        ranked.join(offsets, keys)
-        .withColumn(out, F.col("__ahead") + F.col("__pos"))
-        .drop("__part", "__pos", "__ahead")
-    )
-
-
 def rank_cuts(
     rows: DataFrame, within: Sequence[str], hash_col: str, ranks: Callable[[Column], Column], digits: int | None = None
 ) -> DataFrame:

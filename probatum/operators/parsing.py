@@ -68,8 +68,7 @@ class Scope:
     drop_out_of_range: bool = False
 
 
-# The tail bound of the primary scope and its reason code.
-PRIMARY_TAIL_FROM = 1100
+# Fixed value: the reason code of the tail rows.
 TAIL_REASON = "tail_rows_quarantined_by_audit_convention"
 RANGE_REASON = "quarantine_out_of_range"
 

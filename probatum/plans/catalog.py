@@ -293,6 +293,22 @@ def _(spark, sf):
     return _r(A.correlations(I.order_features(spark, sf), I.FEATURES))
 
 
+_WIDE_COLUMNS = 200
+
+
+def _wide_cell(k: str) -> str:
+    return f"CASE WHEN (p_partkey + {k}) % 11 > 0 THEN CAST((p_partkey * ({k} + 3) + p_size * {k}) % (17 + {k}) + 1000000 AS DOUBLE) END"
+
+
+@query("wide_correlations", f"""WITH l AS (SELECT p_partkey, CAST(k AS INTEGER) AS k, {_wide_cell('k')} AS v FROM part, range({_WIDE_COLUMNS}) t(k))
+SELECT 'c' || a.k AS a, 'c' || b.k AS b, round(corr(a.v, b.v), 6) AS pearson FROM l a JOIN l b ON a.p_partkey = b.p_partkey AND a.k < b.k
+GROUP BY a.k, b.k""")
+def wide_correlations(spark, sf):
+    """All pairs of 200 derived columns with missing cells, far from zero."""
+    wide = I.read(spark, sf, "part").select(*[F.expr(_wide_cell(str(k))).alias(f"c{k}") for k in range(_WIDE_COLUMNS)])
+    return _r(A.correlations(wide, wide.columns))
+
+
 @query("mean_abs_correlation", f"SELECT round(avg(abs(pearson)), 6) AS mean_abs_correlation FROM ({_CORR}) c")
 def _(spark, sf):
     return _r(A.mean_abs_correlation(I.order_features(spark, sf), I.FEATURES))
@@ -355,6 +371,36 @@ def _(spark, sf):
     return s.withColumn("status", C.multiset_status(s, F.lit(False)))
 
 
+_VERDICTS = {"same": (O.REF, O.REF), "moved": (I.for_duckdb(I.PART_REVERSED), O.REF), "changed": (O.CAND, O.REF),
+             "empty": (f"SELECT * FROM ({O.REF}) e WHERE false", f"SELECT * FROM ({O.REF}) e WHERE false")}
+
+
+def _verdict_sql(case: str, cand: str, ref: str) -> str:
+    """Both tables counted row by row, and compared by position."""
+    cols = ", ".join(_NOID)
+    same = " AND ".join(f"c.{x} IS NOT DISTINCT FROM r.{x}" for x in _NOID)
+    return f"""SELECT *, CASE WHEN n_candidate_rows + n_reference_rows = 0 THEN 'both_empty' WHEN NOT same_multiset THEN
+  'row_or_multiplicity_differences' WHEN raw_equal THEN 'same_rows_same_order' ELSE 'same_rows_different_order' END AS status
+FROM (SELECT '{case}' AS "case", CAST(coalesce(sum(a), 0) AS BIGINT) AS n_candidate_rows, CAST(coalesce(sum(b), 0) AS BIGINT) AS n_reference_rows,
+  coalesce(bool_and(a = b), true) AS same_multiset, count(*) FILTER (WHERE a <> b) AS n_distinct_rows_with_count_mismatch,
+  (SELECT coalesce(bool_and({same}), true) FROM ({cand}) c JOIN ({ref}) r USING (row_index)) AS raw_equal
+  FROM (SELECT {cols}, sum(c) AS a, sum(r) AS b FROM (SELECT {cols}, 1 AS c, 0 AS r FROM ({cand}) x UNION ALL
+    SELECT {cols}, 0, 1 FROM ({ref}) y) u GROUP BY {cols}) m) v"""
+
+
+@query("dump_multiset_verdicts", " UNION ALL ".join(_verdict_sql(k, *v) for k, v in _VERDICTS.items()))
+def _(spark, sf):
+    """All four verdicts, by fingerprint first."""
+    cand, ref = I.part_dumps(spark, sf)
+    moved = I.reversed_part(spark, sf)
+    out = []
+    for case, (a, b) in {"same": (ref, ref), "moved": (moved, ref), "changed": (cand, ref), "empty": (ref.filter("false"), ref.filter("false"))}.items():
+        equal = C.row_flags(C.cell_pairs(a, b, _NOID, "row_index")).first()["raw_equal"]
+        summary = C.multiset_verdict(a, b, _NOID, equal)[0]
+        out.append(summary.select(F.lit(case).alias("case"), "*", F.lit(equal).alias("raw_equal")))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("dump_multiset_details", f"{_MULTI} SELECT * FROM m WHERE candidate_count <> reference_count")
 def _(spark, sf):
     return C.multiset_details(C.multiset(*I.part_dumps(spark, sf), _NOID), _NOID)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from probatum.operators import compare as C
 from probatum.sources import sinks, text
@@ -42,11 +41,8 @@ def compare_dumps(
                 n_material += sum(k[x] for x in C.MATERIAL)
                 tables[f"cell_differences_{name}"] = C.details(pairs, row)
             if by_position or n is None:
-                counts = C.multiset(a, b, cols.shared)
-                s = C.multiset_summary(counts)
-                m = s.withColumn("status", C.multiset_status(s, F.lit(layer["raw_equal"]))).collect()[0].asDict()
-                layer["multiset"] = m
-                tables[f"row_count_differences_{name}"] = C.multiset_details(counts, cols.shared)
+                summary, tables[f"row_count_differences_{name}"] = C.multiset_verdict(a, b, cols.shared, layer["raw_equal"])
+                layer["multiset"] = summary.collect()[0].asDict()
             else:
                 layer["multiset"] = {"status": "not_comparable"}
             layers[name] = layer

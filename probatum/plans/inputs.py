@@ -60,6 +60,10 @@ PART_DUMP = """
 SELECT CAST(p_partkey AS BIGINT) AS row_index, CAST(p_partkey AS STRING) AS id, p_name AS name,
   p_brand AS brand, p_type AS type, CAST(p_size AS STRING) AS size
 FROM {part}"""
+# The same rows, last first.
+PART_REVERSED = """
+SELECT (SELECT max(p_partkey) + min(p_partkey) FROM {part}) - row_index AS row_index, id, name, brand, type, size
+FROM (""" + PART_DUMP + ") r"
 PART_CANDIDATE = f"""
 SELECT CAST(p_partkey AS BIGINT) AS row_index, CAST(p_partkey AS STRING) AS id,
   CASE p_partkey % 31 WHEN 3 THEN concat(' ', p_name) WHEN 4 THEN '' WHEN 5 THEN 'N/A' WHEN 6 THEN upper(p_name)
@@ -107,6 +111,10 @@ def part_dumps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return _run(spark, sf_dir, PART_CANDIDATE, "part"), _run(spark, sf_dir, PART_DUMP, "part")
 
 
+def reversed_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir, PART_REVERSED, "part")
+
+
 def for_duckdb(sql: str) -> str:
     """The same text over the check tool's views."""
     for t in ("orders", "lineitem", "customer", "part"):

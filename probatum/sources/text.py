@@ -25,7 +25,7 @@ def with_row_index(df: DataFrame, out: str = "row_index") -> DataFrame:
     # one row per file block
     before = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select("__file", "__block", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"))
-    return placed.join(shift, ["__file", "__block"]).select((F.col("__at") + F.col("__shift")).alias(out), *cols)
+    return placed.join(F.broadcast(shift), ["__file", "__block"]).select((F.col("__at") + F.col("__shift")).alias(out), *cols)
 
 
 def load_raw_csv(
