@@ -10,12 +10,17 @@ A text's score compares the two log-likelihoods, normalised by its length: the l
 that of its most suspicious word, and what clearly toxic words add up to over the root of the length. A logistic curve
 turns the three into a probability. Class counts and curve come from disjoint parts of the labelled rows.
 
+The word up to a letter is its context for ``LONGEST`` letters; from there on the context is the last ORDER - 1 letters, so that
+all of a long word or of a run in a script without spaces counts.
+
 Bounds: at most ``TEACH_ROWS`` labelled rows of each class teach, in hash order; the model keeps every gram of theirs, so
-its size follows from that sample. The shared counts cover all documents.
+its size follows from that sample. It is held as sorted 64-bit hashes with a float each, 12 bytes a gram, by the driver
+and the workers. The shared counts cover all documents.
 
 Stated cases: a null text scores as an empty one, by the curve's value for no evidence; rows without an id or with a
-null label teach nothing; with one class missing every score is the share of the class seen; repeated rows score alike;
-an empty table gives an empty result; other columns are ignored.
+null label teach nothing, nor do ids with contradicting labels; of several texts under one labelled id the smallest teaches;
+with one class missing every score is the share of the class seen; repeated rows score alike; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -33,9 +39,9 @@ from probatum.llm.common import col, slices, typed
 from probatum.session import cut_lineage
 
 ORDER = 5  # letters of the grams behind the shared counts
-LONGEST = 16  # letters of a word beyond which both classes use the shared distribution
+LONGEST = 16  # letters of a word that are context as a whole
 DISCOUNT = 0.75
-START, STOP = "\x02", "\x03"
+START, STOP, LATER = "\x02", "\x03", "\x04"  # marks of a word's ends, and of grams behind its first LONGEST letters
 TEACH_ROWS = 10_000
 CLEAR = 2.0  # log-ratio of a word beyond which it is evidence by itself
 WORDS_AT_ONCE = 200_000  # distinct words held by a task
@@ -74,7 +80,7 @@ def corpus_grams(docs: DataFrame) -> DataFrame:
 
 
 def class_counts(labelled: DataFrame) -> DataFrame:
-    """(gram, toxic, ordinary): how often words of each class begin with a gram."""
+    """(gram, toxic, ordinary): how often words of each class begin with a gram, or hold it behind their first letters."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list[int]] = {}
 
@@ -95,7 +101,9 @@ def class_counts(labelled: DataFrame) -> DataFrame:
     counts = (labelled.select("label", "text").mapInArrow(work, "word string, toxic bigint, ordinary bigint")
               .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
     prefix = F.transform(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(LONGEST))), lambda n: F.substring(F.col("word"), F.lit(1), n))
-    return (counts.select(F.explode(prefix).alias("gram"), "toxic", "ordinary")
+    places = F.when(F.length("word") > LONGEST, F.sequence(F.lit(LONGEST + 1), F.length("word"))).otherwise(F.array().cast("array<int>"))
+    later = F.transform(places, lambda n: F.concat(F.lit(LATER), F.substring(F.col("word"), n - ORDER + 1, F.lit(ORDER))))
+    return (counts.select(F.explode(F.concat(prefix, later)).alias("gram"), "toxic", "ordinary")
             .groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
 
 
@@ -124,7 +132,18 @@ def shared_backoff(grams: DataFrame) -> DataFrame:
     return lower
 
 
-def log_ratios(docs: DataFrame, labelled: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+Table = tuple[np.ndarray, np.ndarray]  # sorted hashes, values
+
+
+def _table(rows: DataFrame, gram: str, value: Column) -> Table:
+    """Hashes and values of a bounded table, gathered as Arrow."""
+    found = rows.select(F.xxhash64(gram).alias("h"), value.cast("float").alias("r")).toArrow()
+    keys, values = found.column("h").to_numpy(), found.column("r").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
+def log_ratios(docs: DataFrame, labelled: DataFrame) -> tuple[Table, Table]:
     """(gram to log-ratio, context to log-ratio of a letter seen by neither class after it). Bounded by the rows that teach."""
     counts = cut_lineage(class_counts(labelled).withColumn("context", F.expr("substring(gram, 1, length(gram) - 1)")))
     contexts = counts.groupBy("context").agg(
@@ -139,27 +158,65 @@ def log_ratios(docs: DataFrame, labelled: DataFrame) -> tuple[dict[str, float],
         own = F.when(F.col(f"{c}_all") > 0, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"{c}_all")).otherwise(F.lit(0.0))
         return own + held_back(c) * F.col("p")
 
-    grams = table.select("gram", F.log(p("toxic") / p("ordinary")).alias("r")).toPandas()
-    unseen = contexts.select("context", F.log(held_back("toxic") / held_back("ordinary")).alias("r")).toPandas()
-    return dict(zip(grams["gram"], grams["r"], strict=True)), dict(zip(unseen["context"], unseen["r"], strict=True))
+    return (_table(table, "gram", F.log(p("toxic") / p("ordinary"))),
+            _table(contexts, "context", F.log(held_back("toxic") / held_back("ordinary"))))
+
+
+def _hash(text: str) -> int:
+    """Spark's xxhash64 of a string, as a signed number."""
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=42)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def _look_up(table: Table, texts: list[str]) -> np.ndarray:
+    """Values of the texts; nan where the table has none."""
+    keys, values = table
+    if not len(keys) or not texts:
+        return np.full(len(texts), np.nan)
+    asked = np.fromiter(map(_hash, texts), np.int64, len(texts))
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, values[at].astype(float), np.nan)
 
 
 class Scorer:
     """Log-ratios of words, cached."""
 
-    def __init__(self, model: tuple[dict[str, float], dict[str, float]]) -> None:
+    def __init__(self, model: tuple[Table, Table]) -> None:
         self.grams, self.contexts = model
         self.cache: dict[bytes, float] = {}
 
+    def learn(self, words: list[bytes]) -> None:
+        """Put the log-ratios of new words into the cache."""
+        texts = [w.decode("utf-8", "surrogatepass") + STOP for w in words]
+        heads = [min(len(t), LONGEST) for t in texts]
+        grams = [g for t, n in zip(texts, heads, strict=True)
+                 for g in (*(t[:k] for k in range(1, n + 1)), *(LATER + t[k - ORDER : k] for k in range(n + 1, len(t) + 1)))]
+        found = _look_up(self.grams, grams)
+        start, missed, owner = 0, [], []
+        totals = np.zeros(len(words))
+        for i, (t, n) in enumerate(zip(texts, heads, strict=True)):
+            head, rest = found[start : start + n], found[start + n : start + len(t)]
+            gone = np.isnan(head)
+            if gone.any():  # nor is any longer beginning of the word in the model
+                k = int(gone.argmax())
+                totals[i] = head[:k].sum()
+                missed.append(t[:k])
+                owner.append(i)
+            else:
+                totals[i] = head.sum()
+            if len(rest):
+                totals[i] += np.nansum(rest)
+                for k in np.flatnonzero(np.isnan(rest)).tolist():
+                    missed.append(grams[start + n + k][:-1])
+                    owner.append(i)
+            start += len(t)
+        np.add.at(totals, owner, np.nan_to_num(_look_up(self.contexts, missed)))
+        self.cache.update(zip(words, totals.tolist(), strict=True))
+
     def word(self, w: bytes) -> float:
-        total, grams = 0.0, self.grams
-        text = w.decode("utf-8", "surrogatepass") + STOP
-        for n in range(1, min(len(text), LONGEST) + 1):
-            r = grams.get(text[:n])
-            if r is None:  # nor is any longer beginning of the word in the model
-                return total + self.contexts.get(text[: n - 1], 0.0)
-            total += r
-        return total
+        if w not in self.cache:
+            self.learn([w])
+        return self.cache[w]
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         """Log-ratio per word, of the highest word, and the sum beyond CLEAR over the root of the number of words."""
@@ -169,8 +226,7 @@ class Scorer:
         if len(self.cache) > WORDS_AT_ONCE:
             self.cache = {}
         cache = self.cache
-        for w in set(words).difference(cache):
-            cache[w] = self.word(w)
+        self.learn(list(set(words).difference(cache)))
         x = np.array([cache[w] for w in words])
         return float(x.mean()), float(x.max()), float(np.maximum(x - CLEAR, 0).sum() / np.sqrt(len(x)))
 
@@ -220,14 +276,16 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, teach: Column, keep
     """
     docs = typed(documents, doc_id="bigint", text="string")
     known = (labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
-             .filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & teach).dropDuplicates(["doc_id"]))
+             .filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & teach)
+             .groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").drop("other"))
     turn = F.xxhash64("doc_id")
     known = (known.filter("label = 1").orderBy(turn, "doc_id").limit(TEACH_ROWS)
              .unionByName(known.filter("label = 0").orderBy(turn, "doc_id").limit(TEACH_ROWS)))
     part = F.crc32(F.concat(F.lit("curve"), F.col("doc_id").cast("string")).cast("binary")) % 3
-    labelled = docs.join(F.broadcast(known), "doc_id")  # twice TEACH_ROWS ids and labels at most
+    # twice TEACH_ROWS ids and labels at most
+    labelled = docs.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     model = documents.sparkSession.sparkContext.broadcast(log_ratios(docs, labelled.filter(part != 0)))
-    seen = features(labelled.filter(part == 0).dropDuplicates(["doc_id"]), model, ["doc_id", "label"]).toPandas().sort_values("doc_id")
+    seen = features(labelled.filter(part == 0), model, ["doc_id", "label"]).toPandas().sort_values("doc_id")
     x, y = seen[FEATURES].to_numpy(float), seen["label"].to_numpy(float)
     if len(set(y)) < 2:
         share = known.agg(F.coalesce(F.avg("label"), F.lit(0.5))).first()[0]

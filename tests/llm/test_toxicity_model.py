@@ -2,6 +2,8 @@ from __future__ import annotations
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from probatum.llm import toxicity
 
 
@@ -15,3 +17,30 @@ def test_every_taught_gram_counts(spark):
             want.update((w[:n], label) for n in range(1, min(len(w), 16) + 1))
     got = {(r["gram"], k): r[c] for r in toxicity.class_counts(df).collect() for k, c in ((1, "toxic"), (0, "ordinary")) if r[c]}
     assert len({g for g, _ in want}) > 200_000 and got == dict(want)
+
+
+def test_hashes_equal_those_of_spark(spark):
+    words = ["", "a", "\x02\x02ab", "wort" * 20, "naïve", "漢字テスト", "\U0001F600x", "\x04abcde", "x" * 31, "y" * 32, "z" * 33]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert [r.h for r in df.selectExpr("xxhash64(w) h").collect()] == [toxicity._hash(w) for w in words]
+
+
+def test_letters_behind_the_sixteenth_count(spark):
+    plain = "abcdefghijklmnopq"
+    rows = [(k % 2, " ".join([plain + ("xzxzxz" if k % 2 else "eieiei")] * 5), k) for k in range(40)]
+    df = spark.createDataFrame(rows, "label int, text string, doc_id bigint")
+    scorer = toxicity.Scorer(toxicity.log_ratios(df, df))
+    bad, good = (scorer.word((plain + x).encode()) for x in ("xzxzxz", "eieiei"))
+    assert bad > 1 and good < -1
+    # also where the word begins as no word of the sample does
+    assert scorer.word(b"0123456789012345678xzxzxz") > 0.5
+
+
+def test_contradicting_labels_and_texts(spark):
+    docs = [(k, "vile slur" if k % 2 else "kind word") for k in range(60)] + [(1, "a kind word"), (2, "zz")]
+    labels = [(k, k % 2) for k in range(60)] + [(5, 0), (6, 1)]
+    d, y = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    once, again = (sorted(map(tuple, toxicity.toxicity_scores(x.repartition(7), z, F.lit(True)).collect())) for x, z in ((d, y), (d.orderBy("text"), y.orderBy("toxic"))))
+    assert once == again
+    free = toxicity.toxicity_scores(d, y.filter("doc_id not in (5, 6)"), F.lit(True))
+    assert once == sorted(map(tuple, free.collect()))
