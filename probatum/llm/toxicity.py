@@ -162,18 +162,13 @@ def log_ratios(docs: DataFrame, labelled: DataFrame) -> tuple[Table, Table]:
             _table(contexts, "context", F.log(held_back("toxic") / held_back("ordinary"))))
 
 
-def _hash(text: str) -> int:
-    """Spark's xxhash64 of a string, as a signed number."""
-    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=42)
-    return h - (1 << 64) if h >= 1 << 63 else h
-
-
-def _look_up(table: Table, texts: list[str]) -> np.ndarray:
-    """Values of the texts; nan where the table has none."""
+def _look_up(table: Table, texts: list[bytes]) -> np.ndarray:
+    """Values of the texts, by Spark's xxhash64 of them; nan where the table has none."""
     keys, values = table
     if not len(keys) or not texts:
         return np.full(len(texts), np.nan)
-    asked = np.fromiter(map(_hash, texts), np.int64, len(texts))
+    digest = xxhash.xxh64_intdigest
+    asked = np.fromiter([digest(t, 42) for t in texts], np.uint64, len(texts)).view(np.int64)
     at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
     return np.where(keys[at] == asked, values[at].astype(float), np.nan)
 
@@ -186,30 +181,32 @@ class Scorer:
         self.cache: dict[bytes, float] = {}
 
     def learn(self, words: list[bytes]) -> None:
-        """Put the log-ratios of new words into the cache."""
-        texts = [w.decode("utf-8", "surrogatepass") + STOP for w in words]
-        heads = [min(len(t), LONGEST) for t in texts]
-        grams = [g for t, n in zip(texts, heads, strict=True)
-                 for g in (*(t[:k] for k in range(1, n + 1)), *(LATER + t[k - ORDER : k] for k in range(n + 1, len(t) + 1)))]
-        found = _look_up(self.grams, grams)
-        start, missed, owner = 0, [], []
+        """Put the log-ratios of new words into the cache. Their beginnings are looked up letter by letter, while the model has them."""
+        marked = [w + STOP.encode() for w in words]
+        # ends of the letters in bytes, for words that are not ASCII
+        ends = [None if w.isascii() else [i + 1 for i in range(len(w)) if i + 1 == len(w) or w[i + 1] & 0xC0 != 0x80] for w in marked]
         totals = np.zeros(len(words))
-        for i, (t, n) in enumerate(zip(texts, heads, strict=True)):
-            head, rest = found[start : start + n], found[start + n : start + len(t)]
-            gone = np.isnan(head)
-            if gone.any():  # nor is any longer beginning of the word in the model
-                k = int(gone.argmax())
-                totals[i] = head[:k].sum()
-                missed.append(t[:k])
+        missed: list[bytes] = []
+        owner: list[int] = []
+        live = list(range(len(words)))
+        for k in range(1, LONGEST + 1):
+            live = [i for i in live if len(marked[i] if ends[i] is None else ends[i]) >= k]
+            found = _look_up(self.grams, [marked[i][: k if ends[i] is None else ends[i][k - 1]] for i in live])
+            gone = np.isnan(found)
+            np.add.at(totals, live, np.where(gone, 0.0, found))
+            for at in np.flatnonzero(gone).tolist():  # nor is any longer beginning of the word in the model
+                i = live[at]
+                missed.append(marked[i][: k - 1 if ends[i] is None else ([0] + ends[i])[k - 1]])
                 owner.append(i)
-            else:
-                totals[i] = head.sum()
-            if len(rest):
-                totals[i] += np.nansum(rest)
-                for k in np.flatnonzero(np.isnan(rest)).tolist():
-                    missed.append(grams[start + n + k][:-1])
-                    owner.append(i)
-            start += len(t)
+            live = [i for i, x in zip(live, gone.tolist(), strict=True) if not x]
+        later = [(i, t) for i, w in enumerate(marked) if len(w) > LONGEST for t in [w.decode("utf-8", "surrogatepass")] if len(t) > LONGEST]
+        grams = [(i, (LATER + t[k - ORDER : k]).encode("utf-8", "surrogatepass"), (LATER + t[k - ORDER : k - 1]).encode("utf-8", "surrogatepass"))
+                 for i, t in later for k in range(LONGEST + 1, len(t) + 1)]
+        found = _look_up(self.grams, [g for _, g, _ in grams])
+        np.add.at(totals, [i for i, _, _ in grams], np.nan_to_num(found))
+        for at in np.flatnonzero(np.isnan(found)).tolist():
+            missed.append(grams[at][2])
+            owner.append(grams[at][0])
         np.add.at(totals, owner, np.nan_to_num(_look_up(self.contexts, missed)))
         self.cache.update(zip(words, totals.tolist(), strict=True))
 
@@ -218,17 +215,17 @@ class Scorer:
             self.learn([w])
         return self.cache[w]
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        """Log-ratio per word, of the highest word, and the sum beyond CLEAR over the root of the number of words."""
-        words = split_words(text)
-        if not words:
-            return 0.0, 0.0, 0.0
+    def features(self, texts: list[str | None]) -> list[tuple[float, float, float]]:
+        """Of each text the log-ratio per word, of the highest word, and the sum beyond CLEAR over the root of the number of words."""
         if len(self.cache) > WORDS_AT_ONCE:
             self.cache = {}
-        cache = self.cache
-        self.learn(list(set(words).difference(cache)))
-        x = np.array([cache[w] for w in words])
-        return float(x.mean()), float(x.max()), float(np.maximum(x - CLEAR, 0).sum() / np.sqrt(len(x)))
+        split = [split_words(t) for t in texts]
+        self.learn(list({w for words in split for w in words}.difference(self.cache)))
+        cache, out = self.cache, []
+        for words in split:
+            x = np.array([cache[w] for w in words])
+            out.append((float(x.mean()), float(x.max()), float(np.maximum(x - CLEAR, 0).sum() / np.sqrt(len(x)))) if words else (0.0, 0.0, 0.0))
+        return out
 
 
 _SCORERS: dict[str, Scorer] = {}  # one per Python worker, so that the cache outlives a task
@@ -244,7 +241,7 @@ def features(docs: DataFrame, model, keep: list[str]) -> DataFrame:
             _SCORERS[name] = Scorer(model.value)
         scorer = _SCORERS[name]
         for batch in slices(batches, -1):
-            found = [scorer.features(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            found = scorer.features(batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], *(pa.array([f[k] for f in found], pa.float64()) for k in range(3))], names=[*batch.schema.names[:-1], *FEATURES])
 

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from probatum.llm import toxicity
@@ -22,7 +24,11 @@ def test_every_taught_gram_counts(spark):
 def test_hashes_equal_those_of_spark(spark):
     words = ["", "a", "\x02\x02ab", "wort" * 20, "naïve", "漢字テスト", "\U0001F600x", "\x04abcde", "x" * 31, "y" * 32, "z" * 33]
     df = spark.createDataFrame([(w,) for w in words], "w string")
-    assert [r.h for r in df.selectExpr("xxhash64(w) h").collect()] == [toxicity._hash(w) for w in words]
+    keys = np.array([r.h for r in df.selectExpr("xxhash64(w) h").collect()])
+    order = np.argsort(keys)
+    table = (keys[order], order.astype(np.float32))
+    assert toxicity._look_up(table, [w.encode() for w in words]).tolist() == list(range(len(words)))
+    assert np.isnan(toxicity._look_up(table, [b"other"])).all()
 
 
 def test_letters_behind_the_sixteenth_count(spark):
@@ -44,3 +50,34 @@ def test_contradicting_labels_and_texts(spark):
     assert once == again
     free = toxicity.toxicity_scores(d, y.filter("doc_id not in (5, 6)"), F.lit(True))
     assert once == sorted(map(tuple, free.collect()))
+
+
+def test_words_score_by_their_definition(spark):
+    """Batches of words, ASCII or not, long or short, against a plain walk through the grams."""
+    r = np.random.default_rng(4)
+    made = ["".join(r.choice(list("abéß漢e"), r.integers(1, 30))) for _ in range(300)]
+    rows = [(k % 2, " ".join(r.choice(made, 40)), k) for k in range(60)]
+    df = spark.createDataFrame(rows, "label int, text string, doc_id bigint")
+    grams, contexts = toxicity.log_ratios(df, df)
+    scorer = toxicity.Scorer((grams, contexts))
+
+    def one(table, text):
+        x = toxicity._look_up(table, [text.encode()])[0]
+        return None if np.isnan(x) else x
+
+    def plain(word):
+        t, total = word + toxicity.STOP, 0.0
+        for k in range(1, min(len(t), 16) + 1):
+            x = one(grams, t[:k])
+            if x is None:
+                total += one(contexts, t[: k - 1]) or 0.0
+                break
+            total += x
+        for k in range(17, len(t) + 1):
+            x = one(grams, "\x04" + t[k - 5 : k])
+            total += x if x is not None else one(contexts, "\x04" + t[k - 5 : k - 1]) or 0.0
+        return total
+
+    words = made + ["zz", "a" * 40, "é" * 20, "abzab", "漢" * 17]
+    scorer.learn([w.encode() for w in words])
+    assert all(abs(scorer.cache[w.encode()] - plain(w)) < 1e-9 for w in words)
