@@ -14,6 +14,8 @@ more than the words inside score, so the scan over the whole page decides and a
 What is never text: scripts, styles, forms, menus and other elements whose names say so, and elements whose class, id
 or role names an advert, notice, comment section or the like, inside the run too.
 
+Time is linear in the page, whatever is left open: a tag that is cut off stays a tag, up to the page's end if within a quote.
+
 Stated cases: null or empty html, and a page without content, give an empty text; broken, unclosed or cut-off markup
 is read as far as it goes; repeated rows give repeated rows; an empty table gives an empty result; other columns are
 ignored unless named in ``keep``.
@@ -55,8 +57,11 @@ BAD_NAMES = set(
     "share sharing social related recommended recommendations more-from trending popular tags taglist "
     "complementary contentinfo".split())
 GOOD_NAMES = {"article", "content", "entry", "main", "post", "story", "body", "text"}
+LAYOUT_WORDS = {"has", "with", "without", "no", "is"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
+# Attributes are read once, without a way back: quoted values end at their quote or at the page's end.
+_ATTRIBUTES = r"""(?:[^>"'=]++|=\s*+"[^"]*+(?:"|\Z)|=\s*+'[^']*+(?:'|\Z)|["'=])*+"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})(?:>|\Z)|[^<]+|<", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _WHITE = re.compile(r"\s+")
@@ -68,12 +73,24 @@ MARK = 2.5  # what a word outside of the page's one content mark loses at most
 
 
 def _bad_names(attributes: str) -> bool:
-    words: set[str] = set()
+    """Whether a class, id, role or label names boilerplate.
+
+    A name that is a bad word, or has one among its parts (``article-comments``), is bad. Parts count for nothing beside
+    a whole name for content (``post category-notices``), in the header of such content (``entry-header``) and in names
+    that tell what a layout has or lacks (``with-sidebar``).
+    """
     for m in _NAMES.finditer(attributes):
         value = next(v for v in m.groups()[1:] if v is not None).lower()
-        words.update(re.split(r"[\s_]+", value), re.split(r"[^a-z]+", value))
-    words.discard("")
-    return bool(words & BAD_NAMES) and not words & GOOD_NAMES
+        names = value.split()
+        content = any(n in GOOD_NAMES for n in names)
+        for name in names:
+            parts = [x for x in re.split(r"[^a-z]+", name) if x]
+            found = BAD_NAMES.intersection(parts)
+            if name in BAD_NAMES or (len(parts) == 1 and found):
+                return True
+            if found and not content and parts[0] not in LAYOUT_WORDS and not (found == {"header"} and GOOD_NAMES.intersection(parts)):
+                return True
+    return False
 
 
 class Token:
@@ -90,8 +107,20 @@ def tokens(page: str) -> tuple[list[Token], list[tuple[int, int]]]:
     out: list[Token] = []
     marks: list[tuple[int, int]] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether they are boilerplate themselves
+    open_names: Counter[str] = Counter()
+    places = ["body"]  # the open blocks
     bad = mark_depth = mark_start = block = 0
     raw = ""
+
+    def close() -> tuple[str, bool]:
+        nonlocal bad
+        name, own = stack.pop()
+        open_names[name] -= 1
+        bad -= own
+        if name in BLOCKS:
+            places.pop()
+        return name, own
+
     for m in _TOKEN.finditer(page):
         closing, name, attributes = m.group(1), m.group(2), m.group(3)
         if raw:
@@ -103,8 +132,7 @@ def tokens(page: str) -> tuple[list[Token], list[tuple[int, int]]]:
             if text[:2] in ("<!", "<?"):
                 continue
             if not bad:
-                place = next((t for t, _ in reversed(stack) if t in BLOCKS), "body")
-                out.append(Token(f"word:{place}", text, 0 if text.isspace() else text.count(" ") + 1, block))
+                out.append(Token(f"word:{places[-1]}", text, 0 if text.isspace() else text.count(" ") + 1, block))
             continue
         name = name.lower()
         if not closing:
@@ -114,16 +142,16 @@ def tokens(page: str) -> tuple[list[Token], list[tuple[int, int]]]:
                 if not bad:
                     out.append(Token(f"<{name}", block=block))
                 continue
-            if name in CLOSES_P and stack and "p" in [t for t, _ in stack[-6:]]:
+            if name in CLOSES_P and "p" in [t for t, _ in stack[-6:]]:
                 while stack and stack[-1][0] != "p" and stack[-1][0] not in BLOCKS:
-                    bad -= stack.pop()[1]
+                    close()
                 if stack and stack[-1][0] == "p":
-                    bad -= stack.pop()[1]
-            if name == "li":
+                    close()
+            if name == "li" and open_names["li"]:
                 while stack and stack[-1][0] not in ("ul", "ol", "menu", "li", "body", "nav", "div", "article", "main", "section"):
-                    bad -= stack.pop()[1]
+                    close()
                 if stack and stack[-1][0] == "li":
-                    bad -= stack.pop()[1]
+                    close()
             if name in BLOCKS:
                 block += 1
             if name == "br":
@@ -139,6 +167,9 @@ def tokens(page: str) -> tuple[list[Token], list[tuple[int, int]]]:
             if name in VOID or attributes.rstrip().endswith("/"):
                 continue
             stack.append((name, own))
+            open_names[name] += 1
+            if name in BLOCKS:
+                places.append(name)
             bad += own
             if name in ("article", "main") and not bad:
                 if not mark_depth:
@@ -147,16 +178,14 @@ def tokens(page: str) -> tuple[list[Token], list[tuple[int, int]]]:
         else:
             if name in VOID:
                 continue
-            if name in [t for t, _ in stack]:
-                while stack:
-                    t, own = stack.pop()
-                    if t in ("article", "main") and not bad and mark_depth:
-                        mark_depth -= 1
-                        if not mark_depth:
-                            marks.append((mark_start, len(out)))
-                    bad -= own
-                    if t == name:
-                        break
+            while open_names[name]:
+                marked = stack[-1][0] in ("article", "main") and not bad and mark_depth
+                if marked:
+                    mark_depth -= 1
+                    if not mark_depth:
+                        marks.append((mark_start, len(out)))
+                if close()[0] == name:
+                    break
             if name in BLOCKS:
                 block += 1
             if not bad:

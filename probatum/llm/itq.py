@@ -82,10 +82,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     classes = keyed.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding"))
     classes = cut_lineage(classes)
     largest = classes.groupBy("label", F.size("embedding").alias("d")).count().agg(F.max("count"), F.max("d")).first()
-    # vectors of each length have rotations of their own; a table of embeddings has one length as a rule
+    # vectors of each length have rotations of their own; a table of embeddings has one length as a rule, or a few
     bits, tables = plan_tables(largest[0] or 1, cosine)
     models = {}
-    for (d,) in classes.select(F.size("embedding")).distinct().limit(64).collect():
+    for (d,) in classes.select(F.size("embedding")).distinct().collect():
         sample = classes.filter(F.size("embedding") == d).orderBy("h1", "rep").limit(TRAIN_ROWS).select("embedding").toPandas()["embedding"]
         x = np.stack([np.asarray(e, float) for e in sample])
         models[d] = learn_rotations(x / np.linalg.norm(x, axis=1, keepdims=True), -(-tables * bits // d))
