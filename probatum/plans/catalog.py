@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -23,6 +24,8 @@ from probatum.operators import trees as T
 from probatum.plans import inputs as I
 from probatum.plans import oracle as O
 from probatum.plans.proxy import variants
+from probatum.session import checkpoint_folder
+from probatum.sources import text as text_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -406,6 +409,27 @@ def _(spark, sf):
     return C.multiset_details(C.multiset(*I.part_dumps(spark, sf), _NOID), _NOID)
 
 
+_CSV_LINE = """concat_ws(',', CAST(doc_id AS STRING), concat('"', replace(coalesce(text, ''), '"', '""'), '"'),
+  CASE WHEN doc_id % 5 > 0 THEN source END, CASE WHEN doc_id % 7 = 0 THEN '"more, and\nmore"' END)"""
+
+
+def quoted_dump(spark, sf) -> str:
+    """A folder of delimited files made of the documents, whole texts with their line breaks in quotes, short and long rows."""
+    lines = I.read(spark, sf, "documents").select(F.col("doc_id").alias("k"), F.expr(_CSV_LINE).alias("value"))
+    head = spark.createDataFrame([(-1, "doc_id,text,source")], "k bigint, value string")
+    path = f"{checkpoint_folder(spark)}/dump-{uuid.uuid4().hex}"
+    head.unionByName(lines).orderBy("k").select("value").write.text(path)
+    return path
+
+
+@query("quoted_dump_cells", """SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_index, CAST(doc_id AS VARCHAR) AS doc_id,
+md5(coalesce(text, '')) AS text_md5, coalesce(CASE WHEN doc_id % 5 > 0 THEN source WHEN doc_id % 7 = 0 THEN 'more, and' || chr(10) || 'more' END, '') AS source,
+CASE WHEN doc_id % 7 = 0 AND doc_id % 5 > 0 AND source IS NOT NULL THEN 'more, and' || chr(10) || 'more' ELSE '' END AS extra FROM documents""")
+def quoted_dump_cells(spark, sf):
+    body, _ = text_files.load_dump(spark, quoted_dump(spark, sf), multiline=True)
+    return body.select("row_index", "doc_id", F.md5("text").alias("text_md5"), "source", F.col("__extra_col_0").alias("extra"))
+
+
 # splits -------------------------------------------------------------------------------------------
 
 _FOLDS = O.folds(O.FEATURES, "size_label", K, REPEATS)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from probatum.functions.cells import reader_nulls_to_null
+from probatum.sources.records import read_records
 
 
 def with_row_index(df: DataFrame, out: str = "row_index") -> DataFrame:
@@ -36,7 +37,9 @@ def load_raw_csv(
 
     ``key_column`` names an existing unique integer column to use instead of numbering the rows.
     """
-    df = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline).csv(path)
+    if multiline:
+        return _raw_records(spark, path, key, key_column)
+    df = spark.read.option("header", True).option("escape", '"').csv(path)
     if key_column is not None:
         rest = [c for c in df.columns if c != key_column]
         return df.select(F.col(key_column).cast("bigint").alias(key or key_column),
@@ -48,12 +51,30 @@ def load_raw_csv(
     return df.select(*keep, *[reader_nulls_to_null(c).alias(c) for c in cols])
 
 
-def record_width(spark: SparkSession, path: str, multiline: bool) -> int:
-    """Cells of the widest record, separators inside quotes aside."""
-    text = spark.read.option("wholetext", multiline).text(path)
+def _raw_records(spark: SparkSession, path: str, key: str | None, key_column: str | None) -> DataFrame:
+    """Like ``load_raw_csv``, for files with line breaks inside quotes; every file has the header."""
+    found = read_records(spark, path)
+    head = found.filter(F.col("record") == 0).first()
+    if head is None:
+        return spark.createDataFrame([], f"{key} bigint" if key else "_0 string")
+    names = [c.removeprefix("\ufeff") for c in head["cells"]]
+    # numbers without the headers of the files before, one row per file
+    heads = found.filter("first").select(F.col("record").alias("__head"))
+    starts = [r[0] for r in heads.orderBy("__head").collect()]
+    number = F.col("record") - F.size(F.filter(F.array(*[F.lit(x).cast("bigint") for x in starts]), lambda x: x <= F.col("record")))
+    body = found.filter(~F.col("first")).select(number.alias("__key"), *[F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(len(names))])
+    if key_column is not None:
+        at = names.index(key_column)
+        return body.select(F.col(f"c{at}").cast("bigint").alias(key or key_column),
+                           *[reader_nulls_to_null(f"c{i}").alias(c) for i, c in enumerate(names) if i != at])
+    keep = [F.col("__key").alias(key)] if key is not None else []
+    return body.select(*keep, *[reader_nulls_to_null(f"c{i}").alias(c) for i, c in enumerate(names)])
+
+
+def record_width(spark: SparkSession, path: str) -> int:
+    """Cells of the widest line, separators inside quotes aside."""
     bare = F.regexp_replace("value", '"[^"]*"', "")
-    records = text.select(F.explode(F.split(bare, r"\r\n|\r|\n")).alias("r")) if multiline else text.select(bare.alias("r"))
-    return records.agg(F.coalesce(F.max(F.regexp_count("r", F.lit(","))), F.lit(-1)) + 1).first()[0]
+    return spark.read.text(path).agg(F.coalesce(F.max(F.regexp_count(bare, F.lit(","))), F.lit(-1)) + 1).first()[0]
 
 
 def load_dump(
@@ -63,24 +84,27 @@ def load_dump(
 
     The first record is the header (a byte-order mark is dropped). Short rows are padded with empty text;
     cells beyond the header get ``__extra_col_i`` columns as far as the widest record has any, filled or not.
-    ``multiline`` reads line breaks inside quotes, at the price of one task per file.
+    ``multiline`` reads line breaks inside quotes (see ``records``), in splits too.
     """
+    if multiline:
+        return _dump_records(spark, path, row)
+
     def read(width: int) -> DataFrame:
         schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(width)])
         return (
-            spark.read.schema(schema).option("header", False).option("multiLine", multiline).option("quote", '"')
+            spark.read.schema(schema).option("header", False).option("quote", '"')
             .option("escape", '"').option("mode", "PERMISSIVE").option("emptyValue", "").csv(path)
         )
 
-    probe = spark.read.option("header", False).option("multiLine", multiline).option("escape", '"').csv(path)
+    probe = spark.read.option("header", False).option("escape", '"').csv(path)
     if not probe.columns:
         return spark.createDataFrame([], f"{row} bigint"), []
     base = len(probe.columns)
-    width = max(base, record_width(spark, path, multiline))
+    width = max(base, record_width(spark, path))
     wide = read(width)
     indexed = with_row_index(wide.select(*[f"_{i}" for i in range(width)]), "__i")
     head = indexed.filter(F.col("__i") == 0).collect()[0]
-    names = [(head[f"_{i}"] or "").removeprefix("﻿") for i in range(base)]
+    names = [(head[f"_{i}"] or "").removeprefix("\ufeff") for i in range(base)]
     names += [f"__extra_col_{i}" for i in range(width - base)]
     body = indexed.filter(F.col("__i") > 0).select(
         (F.col("__i") - 1).alias(row), *[F.coalesce(f"_{i}", F.lit("")).alias(n) for i, n in enumerate(names)]
@@ -88,6 +112,18 @@ def load_dump(
     return body, names
 
 
+def _dump_records(spark: SparkSession, path: str, row: str) -> tuple[DataFrame, list[str]]:
+    found = read_records(spark, path)
+    head = found.filter(F.col("record") == 0).first()
+    if head is None:
+        return spark.createDataFrame([], f"{row} bigint"), []
+    names = [c.removeprefix("\ufeff") for c in head["cells"]]
+    width = found.agg(F.max(F.size("cells"))).first()[0]
+    names += [f"__extra_col_{i}" for i in range(width - len(names))]
+    cells = [F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)]
+    return found.filter(F.col("record") > 0).select((F.col("record") - 1).alias(row), *cells), names
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, nbytes, raw_sha256, lf_sha256) per file: digest of the bytes and of the bytes with LF line ends."""
     files = spark.read.format("binaryFile").load(path)
