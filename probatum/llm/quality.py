@@ -133,11 +133,14 @@ def quality_scores(documents: DataFrame, labels: DataFrame, teach: Column, keep:
     """
     docs = typed(documents, doc_id="bigint", text="string")
     known = (labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("label"))
-             .filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & teach).dropDuplicates(["doc_id"]))
+             .filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & teach)
+             # ids with contradicting labels teach nothing
+             .groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").drop("other"))
     # the ids are drawn before any text is touched: every label of the rarer class first, up to half of the rows
     turn = F.xxhash64("doc_id")
     chosen = [known.filter(F.col("label") == k).orderBy(turn, "doc_id").limit(TRAIN_ROWS // 2) for k in (0, 1)]
-    sample = docs.join(chosen[0].unionByName(chosen[1]), "doc_id").dropDuplicates(["doc_id"])
+    # of several texts under one id the smallest teaches
+    sample = docs.join(chosen[0].unionByName(chosen[1]), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     spots = TRAIN_CHUNKS * CHUNK  # characters: enough for the chunks that training looks at
     seen = sample.select("doc_id", "label", F.when(F.length("text") <= 4 * spots, F.col("text")).otherwise(
         F.concat(*[F.expr(f"substring(text, cast(1 + (length(text) - {CHUNK}) * {k / (TRAIN_CHUNKS - 1)} as int), {CHUNK})") for k in range(TRAIN_CHUNKS)])).alias("text")).toPandas().sort_values("doc_id")
