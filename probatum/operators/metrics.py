@@ -168,6 +168,17 @@ def paired_comparison(scores: DataFrame, audit: DataFrame, pairs: Sequence[tuple
     )
 
 
+def fold_differences(scores: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(model_a, model_b, repeat, fold, diff, direction): macro-F1 of a less that of b on every shared fold."""
+    wanted = scores.sparkSession.createDataFrame(list(pairs), "model_a string, model_b string")  # caller's list
+    s = scores.select("model", "repeat", "fold", "macro_f1")
+    a = F.broadcast(wanted).join(s.withColumnsRenamed({"model": "model_a", "macro_f1": "fa"}), "model_a")
+    b = s.withColumnsRenamed({"model": "model_b", "macro_f1": "fb"})
+    diff = F.col("fa") - F.col("fb")
+    way = F.when(diff > 0, "a_higher").when(diff < 0, "b_higher").otherwise("equal")
+    return a.join(b, ["model_b", "repeat", "fold"]).select("model_a", "model_b", "repeat", "fold", diff.alias("diff"), way.alias("direction"))
+
+
 def require_complete(oof: DataFrame, ids: DataFrame, key: str, models: Sequence[str], repeats: int) -> None:
     """Raise unless every row has exactly one prediction per model and repeat.
 

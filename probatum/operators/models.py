@@ -5,6 +5,7 @@ Every model is fitted by Spark ML, fold by fold, from a few threads.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -24,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probatum.operators import preprocess, trees
-from probatum.operators.metrics import class_metrics, confusion_counts
-from probatum.operators.splits import inner_folds, stratified_folds
+from probatum.operators.metrics import class_metrics, confusion_counts, fold_scores, paired_comparison
+from probatum.operators.splits import fold_audit, inner_folds, stratified_folds
 from probatum.session import cut_lineage
 
 Predict = Callable[[DataFrame], DataFrame]
@@ -80,7 +81,8 @@ def require_converged(iterations: int, most: int) -> None:
 def linear_svm(c: float = 0.2, max_iter: int = 40) -> Callable[[DataFrame, str, Sequence[int]], Predict]:
     """One-vs-one linear hinge classifiers with majority vote, the lowest label on ties.
 
-    The hinge has a kink, near which the optimiser rarely meets a tolerance; ``max_iter`` says how far it goes.
+    The hinge has a kink, near which the optimiser rarely meets a tolerance; ``max_iter`` says how far it goes, and a fit that
+    uses it up warns.
     """
 
     def fit(train: DataFrame, label: str, labels: Sequence[int]) -> Predict:
@@ -93,6 +95,8 @@ def linear_svm(c: float = 0.2, max_iter: int = 40) -> Callable[[DataFrame, str,
                 standardization=False, maxIter=max_iter, tol=1e-4, predictionCol=f"__p_{a}_{b}",
                 rawPredictionCol=f"__r_{a}_{b}",
             ).fit(pair)
+            if model.summary().totalIterations >= max_iter:
+                warnings.warn(f"linear SVM of {a} against {b} stopped after {max_iter} iterations", RuntimeWarning, stacklevel=2)
             votes.append((a, b, model))
 
         def predict(df: DataFrame) -> DataFrame:
@@ -370,6 +374,23 @@ def nested_search(
     return reduce(DataFrame.unionByName, parts), scores
 
 
+def search_comparisons(
+    df: DataFrame, folds: DataFrame, searched: DataFrame, single: DataFrame, key: str, label: str, labels: Sequence[int],
+    features: Sequence[str], pairs: Sequence[tuple[str, str]] = SEARCH_COMPARISONS, threads: int = 4,
+) -> tuple[DataFrame, DataFrame]:
+    """(paired intervals, fold scores) of the declared comparisons of a nested search.
+
+    ``searched`` holds the predictions of b_lr and b_select, ``single`` those of the nested single-feature tree; the dummy and
+    the plain logistic regression on all features are fitted here on the same outer folds.
+    """
+    plain = predict_folds(folds.join(df.drop(label), key), [lr("lr_all", features)], key, label, labels, threads)
+    dummy = most_frequent(folds, key, label)
+    names = ["model", "repeat", "fold", key, "y", "pred"]
+    oof = cut_lineage(reduce(DataFrame.unionByName, [x.select(*names) for x in (searched, single, plain, dummy)]))
+    scores = fold_scores(oof, labels).persist()
+    return paired_comparison(scores, fold_audit(folds, label, labels), pairs), scores
+
+
 def grid_search(
     df: DataFrame, key: str, label: str, labels: Sequence[int], features: Sequence[str],
     cs: Sequence[float] = (0.1, 1.0, 10.0), k: int = 3, seed: int = 0, threads: int = 4,

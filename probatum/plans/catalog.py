@@ -688,6 +688,14 @@ def _(spark, sf):
     return _r(M.paired_comparison(M.fold_scores(o), audit, [("by_lines", "by_disc"), ("by_lines", "by_tax")]))
 
 
+@query("fold_differences", f"""{_OOF}, sc AS ({O.metrics(_counts_sql('model', 'repeat', 'fold'), ['model', 'repeat', 'fold'])})
+SELECT a.model AS model_a, b.model AS model_b, a.repeat, a.fold, round(a.macro_f1 - b.macro_f1, 6) AS diff,
+CASE WHEN a.macro_f1 > b.macro_f1 THEN 'a_higher' WHEN a.macro_f1 < b.macro_f1 THEN 'b_higher' ELSE 'equal' END AS direction
+FROM sc a JOIN sc b USING (repeat, fold) WHERE a.model = 'by_lines' AND b.model <> 'by_lines'""")
+def _(spark, sf):
+    return _r(M.fold_differences(M.fold_scores(oof(spark, sf)), [("by_lines", "by_disc"), ("by_lines", "by_tax")]))
+
+
 @query("missing_predictions", f"""{_OOF}, want AS (SELECT model, repeat, row_id FROM (SELECT DISTINCT model FROM oof) m,
 (SELECT DISTINCT repeat FROM oof) r, (SELECT o_orderkey AS row_id FROM orders) i)
 SELECT * FROM want ANTI JOIN (SELECT model, repeat, row_id FROM oof WHERE pred <> 2) p USING (model, repeat, row_id)""")
@@ -938,6 +946,20 @@ def _(spark, sf):
     return _json_matrix(M.repeat_scores(o))
 
 
+@query("nested_search_comparisons")
+def _(spark, sf):
+    """The four declared comparisons of the search, on its reduced candidate list."""
+    f = I.order_features(spark, sf).select(KEY, "size_label", *I.MODEL_FEATURES).persist()
+    folds, inner = L.two_level(f, KEY, "size_label", 2, 1, 2)
+    feats = tuple(I.MODEL_FEATURES)
+    cands = [("lr", L.lr("lr_c0.1", feats, 0.1)), ("lr", L.lr("lr_c1", feats, 1.0)),
+             ("rf", L.Learner("rf_d8", feats, L.random_forest(10, 8, 4), scale=False))]
+    searched, _ = L.nested_search(f, folds, inner, cands, KEY, "size_label", LABELS)
+    plain = f.drop("size_label")
+    single = T.nested_single(folds.join(plain, KEY).persist(), inner.join(plain, KEY), KEY, list(feats), "size_label", LABELS)[0]
+    return L.search_comparisons(f, folds, searched, single, KEY, "size_label", LABELS, feats)[0]
+
+
 @query("embedding_class_scores")
 def _(spark, sf):
     """Ten-class logistic regression on the vector table, two folds."""

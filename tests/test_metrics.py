@@ -114,3 +114,10 @@ def test_fold_audit_matches_membership(spark):
     m = S.membership(f, 4).groupBy("fold", "role").count().collect()
     a = {r.fold: r for r in S.fold_audit(f, "y", [0, 1, 2]).collect()}
     assert all(r["count"] == a[r.fold][f"n_{r.role}"] for r in m)
+
+
+def test_fold_differences(spark):
+    rows = [(m, r, f, s) for m, ss in (("a", (0.5, 0.6, 0.7, 0.8)), ("b", (0.4, 0.6, 0.9, 0.8))) for (r, f), s in zip(((0, 0), (0, 1), (1, 0), (1, 1)), ss, strict=True)]
+    d = M.fold_differences(spark.createDataFrame(rows, "model string, repeat int, fold int, macro_f1 double"), [("a", "b")])
+    got = [(r.repeat, r.fold, round(r["diff"], 9), r.direction) for r in d.orderBy("repeat", "fold").collect()]
+    assert got == [(0, 0, 0.1, "a_higher"), (0, 1, 0.0, "equal"), (1, 0, -0.2, "b_higher"), (1, 1, 0.0, "equal")]

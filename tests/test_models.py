@@ -112,3 +112,12 @@ def test_linear_models_with_an_absent_label_and_plain_names(spark):
 def test_unfinished_fits_are_refused(spark):
     with pytest.raises(RuntimeError, match="converge"):
         L.require_converged(100, 100)
+
+
+def test_svm_tells_when_it_stops_early(spark):
+    df = spark.createDataFrame([(k, Vectors.dense([float(k % 7), float(k % 5)]), k % 2) for k in range(60)], "id int, vec vector, y int") if False else None
+    from pyspark.ml.feature import VectorAssembler
+    rows = spark.range(60).selectExpr("id", "cast(id % 7 as double) a", "cast(id % 5 as double) b", "cast(id % 2 as int) y")
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="vec").transform(rows)
+    with pytest.warns(RuntimeWarning, match="stopped after 2"):
+        L.linear_svm(0.2, 2)(df, "y", [0, 1])
