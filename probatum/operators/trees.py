@@ -120,7 +120,7 @@ def grow(hist: DataFrame, keys: Sequence[str], labels: Sequence[int], depth: int
         squares = [sum((c * c for c in side), F.lit(0)).cast("double") for side in (left, right)]
         cut = F.struct(
             (F.try_divide(squares[0], n_left) + F.try_divide(squares[1], n_right)).alias("score"), (-F.col("value")).alias("v"),
-            ((F.col("value") + F.col("nxt")) / 2).alias("thr"), F.array(*[F.col(f"b_{t}") for t in ts]).alias("mid"))
+            ((F.col("value") + F.col("nxt")) / 2).cast("double").alias("thr"), F.array(*[F.col(f"b_{t}") for t in ts]).alias("mid"))
         open_ = at.filter((n_right > 0) & (F.greatest(*total) != n))
         best = open_.groupBy(*keys, F.col("leaf.node").alias("node")).agg(F.max(cut).alias("cut")).collect()
         cuts = {(tuple(r[c] for c in keys), r["node"]): r["cut"] for r in best}
