@@ -82,7 +82,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
     substr(md5('7:' || coalesce(doc_id::VARCHAR, '~') || ':' || md5(coalesce(text, '~'))), 1, 15) AS u
   FROM documents
@@ -100,21 +100,32 @@ WITH d AS (
   SELECT source, source_size, least(cap::DOUBLE, level * weight) AS target FROM w, l
 ), r AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t
-), g AS (
-  SELECT d.source, u, sum(size) AS words, any_value(target - whole * source_size) AS open
-  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source WHERE size > 0 AND target / source_size > whole GROUP BY d.source, u
-), a AS (
-  SELECT *, sum(words) OVER (PARTITION BY source ORDER BY u) AS upto FROM g
+), g AS MATERIALIZED (
+  SELECT d.source, u, size, sum(size) AS words, any_value(target - whole * source_size) AS open
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source WHERE size > 0 AND target / source_size > whole GROUP BY d.source, u, size
 ), f AS (
-  SELECT source, max(u) FILTER (upto <= open) AS last, coalesce(sum(words) FILTER (upto <= open), 0) AS filled FROM a GROUP BY source
+  SELECT DISTINCT source, open, '' AS after, 0 AS pass FROM g
+  UNION ALL
+  SELECT source, any_value(open) - coalesce(sum(words) FILTER (upto <= open), 0) AS open, min(u) FILTER (upto > open) AS after, any_value(pass) + 1
+  FROM (
+    SELECT g.source, f.open, u, words, pass, sum(words) OVER (PARTITION BY g.source ORDER BY u) AS upto
+    FROM g JOIN f ON g.source IS NOT DISTINCT FROM f.source AND u > after AND size <= f.open
+  ) GROUP BY source
+), spans AS (
+  SELECT source, open AS most, after, coalesce(lead(after) OVER (PARTITION BY source ORDER BY pass), 'g') AS before FROM f
+), o AS (
+  SELECT source, min(open) AS gap FROM f GROUP BY source
+), t2 AS (
+  SELECT g.source, u, words, size FROM g JOIN spans s ON g.source IS NOT DISTINCT FROM s.source AND u > after AND u < before AND size <= most
 ), x AS (
-  SELECT a.source, arg_min(u, (abs(words - (open - filled)), u)) AS extra
-  FROM a JOIN f ON a.source IS NOT DISTINCT FROM f.source WHERE upto > open AND abs(words - (open - filled)) < open - filled GROUP BY a.source
+  SELECT g.source, arg_min(u, (abs(words - gap), u)) AS extra FROM g JOIN o ON g.source IS NOT DISTINCT FROM o.source
+  WHERE abs(words - gap) < gap AND size < 2 * gap
+    AND NOT EXISTS (SELECT 1 FROM t2 WHERE t2.source IS NOT DISTINCT FROM g.source AND t2.u = g.u) GROUP BY g.source
 )
-SELECT doc_id, size, source_size, target,
-  (size * (whole + CASE WHEN size > 0 AND (coalesce(u <= last, false) OR coalesce(u = extra, false)) THEN 1 ELSE 0 END))::BIGINT AS taken
+SELECT doc_id, d.size, source_size, target,
+  (d.size * (whole + CASE WHEN t2.u IS NOT NULL OR coalesce(d.u = extra, false) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
-LEFT JOIN f ON d.source IS NOT DISTINCT FROM f.source LEFT JOIN x ON d.source IS NOT DISTINCT FROM x.source
+LEFT JOIN t2 ON d.source IS NOT DISTINCT FROM t2.source AND d.u = t2.u LEFT JOIN x ON d.source IS NOT DISTINCT FROM x.source
 """)
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

@@ -110,6 +110,44 @@ def test_mix_empty_and_wordless(spark):
     assert out.columns == df.columns and 70 <= out.count() <= 80
 
 
+def test_mix_passes_over_what_does_not_fit(spark):
+    rows = [(0, "w " * 20_000, "a")] + [(k, "w " * 5, "a") for k in range(1, 2001)] + [(k, "w " * (1 + k % 70), "b") for k in range(3000, 3300)]
+    df = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], DOCS).repartition(5).cache()
+    by = {}
+    for r in mixing.mix(df, weights=(7, 1), share=40_000 / sum(len(r[1]) // 2 for r in rows)).collect():
+        got = by.setdefault(r["source"], [r["target"], 0])
+        got[1] += r["taken"]
+    assert abs(by["a"][0] - by["a"][1]) <= 2.5 and abs(by["b"][0] - by["b"][1]) <= 10
+
+
+def test_mix_with_many_sources_is_the_same(spark, monkeypatch):
+    rows = [(k, "w " * 6, f"s{k % 2}" if k % 5 else None) for k in range(40)]
+    broadcast = sorted(map(str, mixed(spark, rows)))
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 0)
+    assert sorted(map(str, mixed(spark, rows))) == broadcast
+
+
+def test_mix_samples_as_a_greedy_scan_does(spark):
+    rng = random.Random(3)
+    rows = [(k, "w " * int(rng.paretovariate(0.7)), f"s{k % 3}") for k in range(600)] + [(k, "w w w w", "s0") for k in (1001, 1001, 1002)]
+    got = mixing.mix(spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], DOCS)).select(
+        "*", mixing.draw(F.col("doc_id"), F.col("text"), 7).alias("u")).collect()
+    for source in ("s0", "s1", "s2"):
+        own = [r for r in got if r["source"] == source]
+        whole = int(own[0]["target"] // own[0]["source_size"])
+        left = own[0]["target"] - whole * own[0]["source_size"]
+        draws, taken = {}, set()
+        for r in own:
+            draws[r["u"]] = draws.get(r["u"], 0) + r["size"]
+        for u in sorted(draws):
+            if 0 < draws[u] <= left:
+                left -= draws[u]
+                taken.add(u)
+        near = [(abs(n - left), u) for u, n in draws.items() if n and u not in taken and abs(n - left) < left]
+        taken |= {min(near)[1]} if near else set()
+        assert all(r["copies"] == whole + (r["u"] in taken) for r in own)
+
+
 PAGE = """<html><head><title>T</title></head><body><header><h1>Site</h1></header><nav><ul><li><a href=x>Home</a></ul></nav>
 <div class="cookie-notice">We use cookies to give you the best of all experiences here</div>
 <div%s><h2>Real title</h2><p>First paragraph has many words &amp; more of
