@@ -120,3 +120,16 @@ def test_svm_tells_when_it_stops_early(spark):
     df = VectorAssembler(inputCols=["a", "b"], outputCol="vec").transform(rows)
     with pytest.warns(RuntimeWarning, match="stopped after 2"):
         L.linear_svm(0.2, 2)(df, "y", [0, 1])
+
+
+def test_linear_fits_run_in_tasks_by_rows(spark, monkeypatch):
+    rows = spark.range(0, 90, 1, 30).selectExpr("id", "cast(id % 7 as double) a", "cast(id % 5 as double) b", "cast(id % 3 as int) y")
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="vec").transform(rows)
+    seen = []
+    for kind in (L.LinearSVC, L.LogisticRegression):
+        real = kind.fit
+        monkeypatch.setattr(kind, "fit", lambda self, d, real=real: seen.append(d.rdd.getNumPartitions()) or real(self, d))
+    monkeypatch.setattr(L, "TASK_ROWS", 30)
+    L.linear_svm(0.2, 5)(df, "y", [0, 1, 2])
+    L.logistic()(df, "y", [0, 1, 2])
+    assert seen == [2, 2, 2, 3]
