@@ -151,3 +151,11 @@ def test_missing_values_go_to_the_mode_or_stay(spark):
     empty = [r for r in got if r.feature == "b"]
     assert len(empty) == 2 and all(r.value is None and r.node == 0 for r in empty)
     assert {(r.feature, r.fold): r.n_samples for r in scores.collect()} == {(f, k): 30 for f in "ab" for k in range(2)}
+
+
+def test_rows_are_spread_over_all_cores_before_they_are_multiplied(spark):
+    df = spark.range(0, 400, 1, 1).selectExpr("id", "cast(id % 3 as int) y")
+    for multiplied in (V.permuted_labels(df, "id", "y", 5), S.stratified_folds(df, "id", "y", 3, 2)):
+        assert multiplied.rdd.getNumPartitions() >= 8
+        sizes = multiplied.groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in sizes) < multiplied.count() / 4
