@@ -159,3 +159,23 @@ def test_rows_are_spread_over_all_cores_before_they_are_multiplied(spark):
         assert multiplied.rdd.getNumPartitions() >= 8
         sizes = multiplied.groupBy(F.spark_partition_id()).count().collect()
         assert max(r["count"] for r in sizes) < multiplied.count() / 4
+
+
+def test_every_value_is_sorted_once_for_all_folds(spark, monkeypatch):
+    n, seen, real = 600, [], T.cut_lineage
+    df = spark.range(n).select(F.lit(0).alias("repeat"), (F.col("id") % 3).cast("int").alias("fold"), F.when(F.col("id") % 10 > 0, F.col("id")).cast("double").alias("x"),
+                               F.pmod(F.xxhash64("id"), F.lit(3)).cast("int").alias("y"))
+
+    def counted(made):
+        out = real(made)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(T, "cut_lineage", counted)
+    grown, _ = T.single_feature_scores(df, ["repeat"], "fold", ["x"], "y", [0, 1, 2])
+    assert max(seen) <= n and grown.count() == 3 * n * 9 // 10
+    data = df.toPandas()
+    got = {r.fold: [tuple(x) for x in r.leaves] for r in T.leaves(grown, ["fold"]).collect()}
+    for fold in range(3):
+        train = data[data.fold != fold]
+        assert got[fold] == brute_tree(train.x.fillna(train.x.min()).to_numpy(), train.y.to_numpy())  # all values are equally frequent
