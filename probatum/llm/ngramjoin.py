@@ -4,8 +4,9 @@
    list of bounded size. The shingles of a set are ordered by that count (0 for all others), then by hash, so a
    passage that many documents share stands at the end. Any list gives right results; a good one gives few candidates.
 2. Documents with the same set become one class, classes with the same size and the same prefix one group.
-3. Groups that share a prefix shingle meet in its bucket, cut into blocks where it is large. Group pairs pass the
-   size and the position bound; their members the bound that the parity bitmaps of two sets put on their difference.
+3. Groups that share a prefix shingle meet in its bucket, unless no other there is near enough in size; large buckets are
+   cut into blocks. Group pairs pass the size and the position bound; their members the bound that the parity bitmaps of
+   two sets put on their difference.
 4. A class is named by the digest of its set. Round one verifies, for every class, two partners: the nearest by bitmap
    and the one with most partners of its own, and takes connected components. Round two verifies all candidates
    between different components. What both leave out cannot change a component, so a group of near copies is not
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probatum.llm.common import components, slices, typed
@@ -204,6 +205,22 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int, every: bool) ->
         yield from pairs_of(held.combine_chunks())
 
 
+def shared_tokens(spread: DataFrame, percent: int) -> DataFrame:
+    """(gid, token, pos, count) of the rows (token, pos, gid, n) that meet another in their bucket, with its row count.
+
+    Sets of sizes too far apart cannot be similar, so a row without a neighbour in order of size that is near enough goes.
+    """
+    bucket = Window.partitionBy("token")
+    by_size = bucket.orderBy("n")
+
+    def near(n: Column) -> Column:
+        return n.isNotNull() & (100 * F.least("n", n) >= percent * F.greatest("n", n))
+
+    sized = spread.withColumns({"below": F.lag("n").over(by_size), "above": F.lead("n").over(by_size)})
+    counted = sized.withColumn("count", F.count(F.lit(1)).over(bucket))
+    return counted.filter(near(F.col("below")) | near(F.col("above"))).select("gid", "token", "pos", "count")
+
+
 def candidate_pairs(members: DataFrame, tokens: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
     """Candidate pairs of classes (a < b), distinct. With roots, all those between different components."""
     if roots is None:
@@ -330,14 +347,15 @@ def jaccard_components(documents: DataFrame, width: int = 5, percent: int = 80)
     linkable = found.filter("n > 0 and doc_id is not null")
     classes = cut_lineage(linkable.groupBy(*class_key, "p1", "p2").agg(F.min("doc_id").alias("rep")).withColumn("cls", F.col("d1")))
     placed = grouped(classes)
+    # rows of one document that are equal meet where the join has put them, so prefixes are not shuffled again
     members = cut_lineage(linkable.select("doc_id", "d1", "n", "prefix", "bitmap")
-                          .join(placed, (F.col("doc_id") == F.col("rep")) & (F.col("d1") == F.col("cls"))).dropDuplicates(["cls"])
+                          .join(placed, (F.col("doc_id") == F.col("rep")) & (F.col("d1") == F.col("cls"))).dropDuplicates(["doc_id", "d1"])
                           .select("cls", "gid", "n", "bitmap", F.when(F.col("cls") == F.col("gid"), F.col("prefix")).alias("prefix")))
     sizes = members.groupBy("gid").agg(F.count(F.lit(1)).alias("m"))
     several = sizes.filter("m > 1")
     # a bucket is a prefix shingle; a group that holds several classes also has a bucket of its own, named by its gid
-    spread = members.filter("prefix is not null").select(F.posexplode("prefix").alias("pos", "token"), "gid")
-    shared = spread.withColumn("count", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("count > 1").select("gid", "token", "pos", "count")
+    spread = members.filter("prefix is not null").select(F.posexplode("prefix").alias("pos", "token"), "gid", "n")
+    shared = shared_tokens(spread, percent)
     inner = several.select("gid", F.col("gid").alias("token"), F.lit(0).alias("pos"), F.lit(1).cast("bigint").alias("count"))
     tokens = shared.unionByName(inner).persist(StorageLevel.DISK_ONLY)
     near = cut_lineage(candidate_pairs(members, tokens, None, percent))

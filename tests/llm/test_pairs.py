@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import numpy as np
@@ -166,3 +167,13 @@ def test_op5_query_reads_all(spark):
     got = queries.QUERIES["op5_top_k"](spark, SF)
     asked = spark.read.parquet(f"{SF}/embeddings.parquet").filter("vec_id % 50 = 0").count()
     assert got.count() == 5 * asked
+
+
+def test_rows_of_a_bucket_without_a_near_size_go(spark):
+    r = random.Random(8)
+    rows = [(r.randrange(12), pos, gid, r.randrange(20, 400)) for gid in range(60) for pos in range(2)]
+    rows += [(99, 0, 100, 90), (99, 0, 101, 100), (99, 0, 102, 112), (98, 0, 100, 89), (98, 0, 101, 100), (97, 0, 100, 50)]
+    got = {tuple(x) for x in ngramjoin.shared_tokens(spark.createDataFrame(rows, "token bigint, pos int, gid bigint, n bigint"), 90).collect()}
+    want = {(gid, token, pos, sum(t == token for t, *_ in rows)) for i, (token, pos, gid, n) in enumerate(rows)
+            if any(i != j and t == token and 100 * min(n, m) >= 90 * max(n, m) for j, (t, _, _, m) in enumerate(rows))}
+    assert got == want and len(want) < len(rows)
