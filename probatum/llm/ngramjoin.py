@@ -342,15 +342,18 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
 def jaccard_components(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents linked by sets with a Jaccard similarity of percent / 100 or more."""
     docs = typed(documents, doc_id="bigint", text="string")
-    found = cut_lineage(signatures(docs, width, percent))
+    # prefixes and bitmaps are on disk only until the classes have theirs
+    signed = signatures(docs, width, percent).persist(StorageLevel.DISK_ONLY)
     class_key = ["n", "d1", "d2"]
+    found = cut_lineage(signed.select("doc_id", *class_key, "p1", "p2"))
     linkable = found.filter("n > 0 and doc_id is not null")
     classes = cut_lineage(linkable.groupBy(*class_key, "p1", "p2").agg(F.min("doc_id").alias("rep")).withColumn("cls", F.col("d1")))
     placed = grouped(classes)
     # rows of one document that are equal meet where the join has put them, so prefixes are not shuffled again
-    members = cut_lineage(linkable.select("doc_id", "d1", "n", "prefix", "bitmap")
+    members = cut_lineage(signed.filter("n > 0 and doc_id is not null").select("doc_id", "d1", "n", "prefix", "bitmap")
                           .join(placed, (F.col("doc_id") == F.col("rep")) & (F.col("d1") == F.col("cls"))).dropDuplicates(["doc_id", "d1"])
                           .select("cls", "gid", "n", "bitmap", F.when(F.col("cls") == F.col("gid"), F.col("prefix")).alias("prefix")))
+    signed.unpersist()
     sizes = members.groupBy("gid").agg(F.count(F.lit(1)).alias("m"))
     several = sizes.filter("m > 1")
     # a bucket is a prefix shingle; a group that holds several classes also has a bucket of its own, named by its gid

@@ -177,3 +177,16 @@ def test_rows_of_a_bucket_without_a_near_size_go(spark):
     want = {(gid, token, pos, sum(t == token for t, *_ in rows)) for i, (token, pos, gid, n) in enumerate(rows)
             if any(i != j and t == token and 100 * min(n, m) >= 90 * max(n, m) for j, (t, _, _, m) in enumerate(rows))}
     assert got == want and len(want) < len(rows)
+
+
+def test_signatures_leave_no_prefixes_behind(spark, monkeypatch):
+    from probatum.llm import ngramjoin
+
+    kept, real = [], ngramjoin.cut_lineage
+    monkeypatch.setattr(ngramjoin, "cut_lineage", lambda df: kept.append(df.columns) or real(df))
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text), (2, text + " x"), (3, "another text"), (4, None)], "doc_id bigint, text string")
+    out = {r["doc_id"]: r["component_id"] for r in ngramjoin.jaccard_components(df, 3, 90).collect()}
+    assert out == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert sum("prefix" in c for c in kept) == 1  # the classes' own; those of all documents are freed
+    assert not spark.sparkContext._jsc.sc().getPersistentRDDs().size()
