@@ -43,8 +43,11 @@ LATER_LETTERS = [
 LATER_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79),
                  (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
 
-CUT_CHARS = 1 << 19  # a long text is scanned in cuts of about this many code points
-CACHE_PIECES = 200_000
+CUT_CHARS = 1 << 17  # a long text is scanned in cuts of about this many code points
+SLICE_BYTES = 1 << 18  # of a batch, so many bytes of text or offsets are worked on at once
+DECODE_IDS = 1 << 16  # ids decoded at once
+MERGE_CELLS = 200_000  # bytes of pieces merged together
+CACHE_PIECES = 140_000
 LONG_PIECE = 256  # bytes; longer pieces are merged one by one, with a heap
 
 
@@ -189,7 +192,7 @@ class Merger:
     """Ids of byte pieces by merge ranks, with a bounded cache. Ranks: bytes to id, every single byte among them."""
 
     def __init__(self, ranks: dict[bytes, int], cache_pieces: int = CACHE_PIECES) -> None:
-        self.ranks, self.cache, self.cache_pieces = ranks, {}, cache_pieces
+        self.ranks, self.cache, self.older, self.cache_pieces = ranks, {}, {}, cache_pieces
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         keys, values = [], []
         for token, rank in ranks.items():
@@ -276,19 +279,20 @@ class Merger:
             else:
                 by_length.setdefault(len(p), []).append(p)
         for group in by_length.values():
-            for k in range(0, len(group), 20_000):
-                part = group[k : k + 20_000]
+            most = max(1, MERGE_CELLS // len(group[0]))
+            for k in range(0, len(group), most):
+                part = group[k : k + most]
                 found.update(zip(part, self._together(part), strict=True))
         return found
 
     def encode(self, pieces: list[bytes]) -> list[bytes]:
-        missing = set(pieces).difference(self.cache)
-        found = self.learn(missing)
-        if len(self.cache) + len(found) > self.cache_pieces:
-            self.cache = {}
-            missing = set(pieces)
-            found = self.learn(missing)
-        self.cache.update(found)
+        wanted = set(pieces)
+        missing = wanted.difference(self.cache)
+        if len(self.cache) + len(missing) > self.cache_pieces // 2:  # what is still in use comes back from the older half
+            self.older, self.cache, missing = self.cache, {}, wanted
+        known = {p: self.older[p] for p in missing if p in self.older}
+        self.cache.update(known)
+        self.cache.update(self.learn(missing.difference(known)))
         cache = self.cache
         return [cache[p] for p in pieces]
 
@@ -354,12 +358,15 @@ class Vocabulary:
         return np.cumsum(self.length[ids])
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> bytes:
-        """Every id's bytes set at its offset."""
-        if not len(ids):
-            return b""
-        length = self.length[ids]
-        begin = ends - length
-        return self.data[np.repeat(self.start[ids] - begin, length) + np.arange(int(ends[-1]))].tobytes()
+        """Every id's bytes set at its offset, ``DECODE_IDS`` ids at once."""
+        out, done = [], 0
+        for k in range(0, len(ids), DECODE_IDS):
+            some, at = ids[k : k + DECODE_IDS], ends[k : k + DECODE_IDS].astype(np.int64)
+            length = self.length[some]
+            begin = at - length - done
+            out.append(self.data[np.repeat(self.start[some] - begin, length) + np.arange(int(at[-1]) - done)].tobytes())
+            done = int(at[-1])
+        return b"".join(out)
 
 
 def _ranks_on(df: DataFrame, ranks_path: str):
@@ -403,7 +410,7 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", keep: Sequence[st
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger, vocabulary = _tool(Merger, ranks_path, shared), _tool(Vocabulary, ranks_path, shared)
-        for batch in slices(batches, -1):
+        for batch in slices(batches, -1, SLICE_BYTES):
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             ids: list[bytes] = []
             for run in _groups(texts):
@@ -430,9 +437,9 @@ def decode(df: DataFrame, ranks_path: str, keep: Sequence[str] = ()) -> DataFram
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _tool(Vocabulary, ranks_path, shared)
-        for batch in slices(batches, -1):
+        for batch in slices(batches, -1, SLICE_BYTES):
             ids, ends = (batch.column(batch.num_columns - k).to_pylist() for k in (2, 1))
-            out = [vocabulary.decode(np.frombuffer(i or b"", "<u4").astype(np.int64), np.frombuffer(e or b"", "<u4").astype(np.int64))
+            out = [vocabulary.decode(np.frombuffer(i or b"", "<u4"), np.frombuffer(e or b"", "<u4"))
                    for i, e in zip(ids, ends, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-2], pa.array(out, pa.binary())], names=[*batch.schema.names[:-2], "decoded"])

@@ -52,6 +52,33 @@ def test_bpe_query_cases(spark, reference):
     assert queries.bpe_digests(df.limit(0)).count() == 0
 
 
+def test_bpe_holds_little_at_once(spark, reference, monkeypatch):
+    rng = random.Random(3)
+    pieces = [bytes(rng.choice(b"abcdefgh") for _ in range(200)) for _ in range(2500)]
+    merger, cells = bpe.Merger(bpe.read_ranks(RANKS), cache_pieces=1000), []
+    whole = merger._together
+    monkeypatch.setattr(merger, "_together", lambda part: cells.append(len(part) * len(part[0])) or whole(part))
+    packed = merger.encode(pieces)
+    assert max(cells) <= 200_000 and sum(cells) == 500_000
+    assert [np.frombuffer(p, "<u4").tolist() for p in packed[:50]] == [reference._encode_single_piece(p) for p in pieces[:50]]
+    # what is used again and again stays when the cache overflows
+    cells.clear()
+    for k in range(0, 2000, 100):
+        merger.encode(pieces[-100:] + pieces[k : k + 100])
+    assert len(merger.cache) + len(merger.older) <= 1000
+    assert sum(cells) <= 2000 * 200  # of all 2,100 the last hundred were cached throughout
+    # the ids reach decoding in one copy
+    kept, real = [], bpe.decode
+    monkeypatch.setattr(bpe, "decode", lambda df, path, keep: kept.extend(keep) or real(df, path, keep=keep))
+    queries.bpe_digests(spark.createDataFrame([(1, "a b's", "en", "s", 5)], DOCS)).collect()
+    assert kept and "token_ids" not in kept
+    # a text of more ids than are decoded at once
+    ranks = bpe.read_ranks(RANKS)
+    vocabulary, text = bpe.Vocabulary(ranks), ("some words, 1 and 2 é " * 20_000).encode()
+    ids = np.array(reference.encode_ordinary(text.decode()), "<u4")
+    assert len(ids) > 1 << 16 and vocabulary.decode(ids, vocabulary.ends(ids).astype("<u4")) == text
+
+
 def test_scan_is_associative():
     r = np.random.default_rng(0)
     _, _, table, _, one = bpe.monoid()
